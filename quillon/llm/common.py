@@ -57,3 +57,10 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what one Arrow batch holds; texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Partitions for a shuffle of ``df`` so that one holds about ``each`` bytes of its files."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(1_000_000, -(-size // each)))
