@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding, token_files
+from . import exact_dedup, fingerprints, packing, sharding, token_files
 from .common import table
 
 
@@ -29,7 +29,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_maglev_placement, op4_exact_dedup, op7_token_files, op9_packing)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_maglev_placement, op4_exact_dedup, op7_token_files, op9_packing, op10_fingerprints)}
 
 ORACLES = {
     "op4_exact_dedup": """
