@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, packing, sharding, token_files
+from . import exact_dedup, fingerprints, packing, pii, sharding, token_files
 from .common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_maglev_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, slot and shard of every document, 512 shards."""
     names = [f"shard-{i:04d}" for i in range(sharding.SHARDS)]
@@ -33,7 +37,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_maglev_placement, op4_exact_dedup, op7_token_files, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_maglev_placement, op4_exact_dedup, op7_token_files, op9_packing, op10_fingerprints)}
 
 ORACLES = {
     "op4_exact_dedup": """
