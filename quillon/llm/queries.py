@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, packing, pii, sharding, token_files
+from . import exact_dedup, fingerprints, packing, pii, sharding, token_files, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,7 +41,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_maglev_placement, op4_exact_dedup, op7_token_files, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_maglev_placement, op4_exact_dedup, op7_token_files, op8_toxicity, op9_packing, op10_fingerprints)}
 
 ORACLES = {
     "op4_exact_dedup": """
