@@ -36,25 +36,30 @@ class Encoder:
         # Between words that are encoded together: a line break, or a sign that stands alone.
         self.sign, self.mark = ("\n", "\n") if keep_space else ("\x01", " \x01 ")
         (self.mark_id,) = self.model.encode(self.sign, add_special_tokens=False).ids
+        self.break_id = self.ids("\n") if keep_space else b""
+        self.tails: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
-        """Parts that can be encoded one by one."""
+        """Parts that can be encoded one by one, as keys of the cache.
+
+        Where spaces count, a key stands for a space and its word, and one that
+        begins with a line break for that break and the word without a space;
+        the first key has such a break, whose id is taken off again.
+        """
         if not self.keep_space:
             return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
         if TWO_SPACES.search(text):
             first, *rest = INNER_SPACE.split(text)
-            return [first, *[" " + x for x in rest]]
-        lines = text.split("\n")
-        out: list[str] = []
-        for line in lines:
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + x for x in rest]
-            out.append("\n")
-        out.pop()
-        return out
+            return ["\n" + first, *rest]
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+    def shown(self, key: str) -> tuple[str, bytes]:
+        """The text that a key stands for, and the ids before it."""
+        if not self.keep_space:
+            return key, b""
+        return (key[1:], self.break_id) if key[:1] == "\n" else (" " + key, b"")
 
     def split_ids(self, words: list[str]) -> Iterable[list[int]]:
         """The ids of each word, from one text in which a mark of one id stands between them."""
@@ -67,45 +72,51 @@ class Encoder:
                 found.append(i)
         yield found
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Put the words' ids into the cache; returns those of words too long for it.
+    def learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Put the keys' ids into the cache; returns those of keys too long for it.
 
         Marks after a letter are a part of their own in both vocabularies, so a
         word with marks is its bare form and the marks.
         """
-        new, old = self.new, self.old
+        new, old, tails = self.new, self.old, self.tails
         far: dict[str, bytes] = {}
         marked: list[tuple[str, str, str]] = []
         lacking: set[str] = set()
-        for w in words:
+        for w in keys:
             if w in new:
                 continue
             if (got := old.get(w)) is not None:
                 new[w] = got
             elif len(w) > CACHE_CHARS:
-                far[w] = self.ids(w)
+                text, before = self.shown(w)
+                far[w] = before + self.ids(text)
             elif (bare := w.rstrip(MARKS)) != w and bare[-1:].lower()[-1:].isalpha():
-                tail = w[len(bare) :]
-                marked.append((w, bare, tail))
-                for x in (bare, tail):
-                    if x not in new:
-                        if (got := old.get(x)) is not None:
-                            new[x] = got
-                        else:
-                            lacking.add(x)
+                marked.append((w, bare, w[len(bare) :]))
+                if bare not in new:
+                    if (got := old.get(bare)) is not None:
+                        new[bare] = got
+                    else:
+                        lacking.add(bare)
             else:
                 lacking.add(w)
-        plain = []
+        plain, texts, befores = [], [], []
         for w in lacking:
-            if self.sign not in w and (core := w.strip()) and (core == w or core == w[1:]):
+            text, before = self.shown(w)
+            if self.sign not in text and (core := text.strip()) and (core == text or core == text[1:]):
                 plain.append(w)
+                texts.append(text)
+                befores.append(before)
             else:
-                new[w] = self.ids(w)
+                new[w] = before + self.ids(text)
         if plain:
-            for w, ids in zip(plain, self.split_ids(plain), strict=True):
-                new[w] = struct.pack(f"<{len(ids)}I", *ids)
+            for w, before, ids in zip(plain, befores, self.split_ids(texts), strict=True):
+                new[w] = before + struct.pack(f"<{len(ids)}I", *ids)
         for w, bare, tail in marked:
-            new[w] = new[bare] + new[tail]
+            if tail not in tails:
+                if len(tails) > 10_000:
+                    tails.clear()
+                tails[tail] = self.ids(tail)
+            new[w] = new[bare] + tails[tail]
         return far
 
     def ids(self, text: str) -> bytes:
@@ -116,12 +127,13 @@ class Encoder:
         """The ids of each text, without an end id."""
         cuts = [self.pieces(t) for t in texts]
         far = self.learn(set().union(*cuts))
-        new = self.new
+        new, skip = self.new, len(self.break_id)
         for cut in cuts:
             try:
-                yield b"".join(map(new.__getitem__, cut))
+                found = b"".join(map(new.__getitem__, cut))
             except KeyError:
-                yield b"".join([new[w] if w in new else far[w] for w in cut])
+                found = b"".join([new[w] if w in new else far[w] for w in cut])
+            yield found[skip:]
         if len(new) > CACHE_WORDS:
             self.old, self.new = new, {}
 
