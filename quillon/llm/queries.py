@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, html_text, packing, pii, sharding, token_files, toxicity
+from . import exact_dedup, fingerprints, html_text, near_join, packing, pii, sharding, token_files, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,7 +49,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_maglev_placement, op3_html_text, op4_exact_dedup, op7_token_files, op8_toxicity, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_maglev_placement, op3_html_text, op4_exact_dedup, op5_near_join, op7_token_files, op8_toxicity, op9_packing, op10_fingerprints)}
 
 ORACLES = {
     "op4_exact_dedup": """
