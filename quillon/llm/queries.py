@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, html_text, near_join, packing, pii, sharding, token_files, toxicity
+from . import exact_dedup, fingerprints, html_text, near_join, packing, pieces, pii, sharding, token_files, toxicity
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op5_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids with merge-dropout, and the hash of what they decode to."""
+    rows = pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,7 +55,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_maglev_placement, op3_html_text, op4_exact_dedup, op5_near_join, op7_token_files, op8_toxicity, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_maglev_placement, op3_html_text, op4_exact_dedup, op5_near_join, op6_pieces, op7_token_files, op8_toxicity, op9_packing, op10_fingerprints)}
 
 ORACLES = {
     "op4_exact_dedup": """
