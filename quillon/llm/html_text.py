@@ -237,14 +237,16 @@ def kept_blocks(roles: list[int], texts: list[str], places: list[int] | None) ->
     """The blocks of the text: main ones, or else the open ones that are not boilerplate."""
     if MAIN in roles:
         return [t for r, t in zip(roles, texts, strict=True) if r == MAIN]
-    covered = {p + i for p in places or () for i in range(RUN)}
+    starts = set(places or ())
+    covered = {p + i for p in starts for i in range(RUN)}
     out, at = [], 0
     for r, t in zip(roles, texts, strict=True):
-        n = t.count(" ") + 1
-        hit = sum(i in covered for i in range(at, at + n))
-        at += n
-        if r == OPEN and hit < COVERED * n:
+        end = at + t.count(" ") + 1
+        # A run that comes in from another block counts only if it takes in this one whole.
+        inside = {p + i for p in range(at, end - RUN + 1) if p in starts for i in range(RUN)}
+        if r == OPEN and len(inside) < COVERED * (end - at) and not all(i in covered for i in range(at, end)):
             out.append(t)
+        at = end
     return out
 
 

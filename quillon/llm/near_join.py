@@ -119,8 +119,8 @@ def signed(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, node binary, keys array<long>")
 
 
-def links_in(sets: list[np.ndarray], sides: list[int], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i < j) of sets that are alike; with two sides, only those across."""
+def links_in(sets: list[np.ndarray], sides: list[int], similarity: float, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i < j) of sets that are alike; of two blocks, only those across."""
     sizes = np.array([len(s) for s in sets])
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -142,7 +142,7 @@ def links_in(sets: list[np.ndarray], sides: list[int], similarity: float) -> tup
     alike = (both > 0) & (both >= similarity * either - 1e-6)
     side = np.array(sides)
     alike &= np.triu(np.ones_like(alike), 1)
-    if len(set(sides)) > 1:
+    if across:
         alike &= side[:, None] != side[None, :]
     return np.nonzero(alike)
 
@@ -157,8 +157,8 @@ def verified(texts: DataFrame, size: int, similarity: float, block: int = BLOCK)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "text")
 
-    def group(nodes: list[bytes], copies: list[int], sides: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        a, b = links_in(sets, sides, similarity)
+    def group(across: bool, nodes: list[bytes], copies: list[int], sides: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        a, b = links_in(sets, sides, similarity, across)
         if not len(a):
             return None
         weight = np.array(copies, np.int64)
@@ -187,12 +187,12 @@ def verified(texts: DataFrame, size: int, similarity: float, block: int = BLOCK)
         for batch in batches:
             for label, i, j, own, node, copies, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (label, i, j) != now:
-                    if len(held[0]) > 1 and (out := group(*held)):
+                    if len(held[0]) > 1 and (out := group(now[1] != now[2], *held)):
                         yield out
                     now, held = (label, i, j), ([], [], [], [])
                 for column, value in zip(held, (node, copies, own, shingles(words_of(text), hashes, size)), strict=True):
                     column.append(value)
-        if len(held[0]) > 1 and (out := group(*held)):
+        if len(held[0]) > 1 and (out := group(now[1] != now[2], *held)):
             yield out
 
     keys = ["label", "i", "j"]
