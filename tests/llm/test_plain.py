@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quillon.llm import boost, html_text, near_join, packing, pieces, sharding, token_files, tokens, toxicity
+from quillon.llm import boost, html_text, near_join, packing, pieces, pii, sharding, token_files, tokens, toxicity
 
 ODD = ["", " ", "\n", "  a", "a  ", "a\n\nb", "x" * 5000, "it's a.b, no!! İ. Σ é🙂 <|endoftext|> \x1c▁ <s>", "a\tb\r\nc d"]
 
@@ -251,18 +251,53 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score_documents(df, known.where("false")).collect()} == {0.5}
 
 
+def redacted(text, spans):
+    out, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda x: (x[1], pii.KINDS.index(x[0]), x[2])):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def test_pipeline(spark, small):
+    """Each stage against a plain version of it, on its own input."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    kept, columns = docs.count(), docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, small), name)
-        assert docs.columns == columns and docs.count() <= kept
-        kept = docs.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, small)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
-    assert 100 < kept < 200
+    stages, columns = dict(corpus_pipeline.STAGES), docs.columns
+    rows = lambda df: {r.doc_id: r for r in df.collect()}
+
+    clean = corpus_pipeline.written(stages["toxicity"](spark, docs, small), "a")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    assert set(rows(clean)) == {r.doc_id for r in toxicity.score_documents(docs, labels).where("predicted = 0").collect()}
+
+    single = corpus_pipeline.written(stages["exact_dedup"](spark, clean, small), "b")
+    last = {}
+    for i, r in sorted(rows(clean).items()):
+        last["".join(c.lower() if "A" <= c <= "Z" else c for c in r.text)] = i
+    assert set(rows(single)) == set(last.values())
+
+    apart = corpus_pipeline.written(stages["near_join"](spark, single, small), "c")
+    before = rows(single)
+    assert set(rows(apart)) == {c for c, _ in brute([(i, r.text) for i, r in before.items()]).values()}
+
+    safe = corpus_pipeline.written(stages["pii"](spark, apart, small), "d")
+    spans = {r.doc_id: [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in pii.scan(apart).collect()}
+    before, after = rows(apart), rows(safe)
+    assert any(spans.values()) and {i: r.text for i, r in after.items()} == {i: redacted(r.text, spans[i]) for i, r in before.items()}
+    assert all(r.n_chars == len(r.text) for r in after.values())
+    assert clean.columns == single.columns == apart.columns == safe.columns == columns
+
+    pieces_, ids = {}, sorted(after)
+    for r in stages["packing"](spark, safe, small).collect():
+        pieces_.setdefault(r.doc_id, []).append(r)
+    for i, want in zip(ids, tokens.word_encoder().encode([after[i].text for i in ids]), strict=True):
+        want, at = want + packing.END, 0
+        for r in sorted(pieces_[i], key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(want[4 * at : 4 * (at + r.length)])
+            at += r.length
+        assert at == len(want) // 4
 
 
 def test_documents_sql(spark, small, duck):
