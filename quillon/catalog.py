@@ -45,6 +45,11 @@ UPDATE = """SELECT k, c, sum(x * g)::BIGINT AS dv FROM parts JOIN cells USING (c
 
 @query(FORWARD)
 def spmm_fwd(spark, d):
+    return kernels.forward(w.parts(spark, d), w.vectors(spark, d))
+
+
+@query(FORWARD)
+def spmm_fwd_vector(spark, d):
     return kernels.forward(w.parts(spark, d), w.vectors(spark, d), "vector")
 
 
@@ -60,6 +65,11 @@ def blocked_fwd(spark, d):
 
 @query(BACKWARD)
 def spmm_bwd(spark, d):
+    return kernels.backward(w.parts(spark, d), w.grad_vectors(spark, d))
+
+
+@query(BACKWARD)
+def spmm_bwd_vector(spark, d):
     return kernels.backward(w.parts(spark, d), w.grad_vectors(spark, d), "vector")
 
 
