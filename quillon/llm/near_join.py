@@ -36,7 +36,7 @@ WORDS, SIMILARITY = 5, 0.8
 TREES, LONGEST, RECALL = 32, 16, 0.9999
 #: Nodes of a block; two blocks at most are in one task.
 BLOCK = 256
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 SEED = 77_003
 
 

@@ -127,7 +127,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, file
 
     One small row a file comes to the driver, for the running sum of tokens.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500, 16 << 20)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

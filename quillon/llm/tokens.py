@@ -15,8 +15,10 @@ from collections.abc import Iterable
 import public_tokenizers
 
 END_ID = 2
-#: Words that one cache generation holds, and the longest word it keeps.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
+#: The longest word that a cache keeps, and the words of a generation: there are
+#: fewer forms of words where case is folded.
+CACHE_CHARS = 48
+CACHE_WORDS = {True: 500_000, False: 150_000}
 
 MARKS = ".,;:!?%$#&*"
 TWO_SPACES = re.compile(r"\s\s")
@@ -134,7 +136,7 @@ class Encoder:
             except KeyError:
                 found = b"".join([new[w] if w in new else far[w] for w in cut])
             yield found[skip:]
-        if len(new) > CACHE_WORDS:
+        if len(new) > CACHE_WORDS[self.keep_space]:
             self.old, self.new = new, {}
 
 

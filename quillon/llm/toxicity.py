@@ -47,7 +47,7 @@ NEAR = 3
 STEMS = (4, 5, 6)
 #: Of a term's labelled documents, the share that has to be toxic, and how many at least.
 SHARE, LEAST = 0.5, 3
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 
 
 def terms_of(word: str) -> list[str]:
