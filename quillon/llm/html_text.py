@@ -2,7 +2,10 @@
 
 A page is cut into blocks with one of three roles: main (in an article or main
 element), dropped (in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers), or open (the page does not say).  The
+scripts, styles, comments of readers), or open (the page does not say).  A class
+or id names boilerplate only as a whole, and a main element in a dropped wrapper
+is main again, as an article is unless the wrapper is a margin; navigation,
+footers, asides and comments of readers keep all that is in them dropped.  The
 words outside main blocks are a page's stream.  The streams of a host's pages
 are joined, group by group of bounded size, and a suffix array over each shows
 which runs of ``RUN`` words or more repeat across distinct pages; runs that one
@@ -36,6 +39,8 @@ from .common import small_batches, written
 #: Words of a run, pages of a group, and the share of a block that makes it boilerplate.
 RUN, PAGES, COVERED = 5, 256, 0.5
 MAIN, DROPPED, OPEN = 1, 0, 2
+#: While reading, dropped too: a main element in these is main again, in SOFT an article as well.
+SOFT, ASIDE = 3, 4
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -55,34 +60,59 @@ OUTSIDE = frozenset("header masthead topbar banner".split())
 ANYWHERE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login comment comments commentlist reply replies disqus respond share sharing social related".split()
 )
-PARTS = re.compile(r"[^a-z0-9]+")
+#: Names of a page's own lists and margins: an article in them is not the page's.
+MARGIN = frozenset("sidebar aside related promo promotion sponsor sponsored newsletter".split())
+#: Names of what has no main text in it at all.
+CLOSED = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer comment comments commentlist reply replies disqus respond".split())
+#: Parts that may stand beside those words in a name that still means nothing else.
+FILL = frozenset("site main primary secondary global wrap wrapper container box bar widget list links link buttons icons form slot unit posts articles".split())
 
 
 def attributes(raw: str) -> tuple[set[str], str]:
-    """The words of class and id, and the role."""
-    words: set[str] = set()
+    """The names of class and id, and the role."""
+    names: set[str] = set()
     role = ""
     for m in ATTRIBUTE.finditer(raw):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             role = value.strip()
         else:
-            words.update(PARTS.split(value))
-    return words, role
+            names.update(value.split())
+    return names, role
+
+
+def boiler_words(names: set[str]) -> set[str]:
+    """The words of the names that mean boilerplate as a whole.
+
+    ``cookie-notice`` and ``site_footer`` do; ``has-sidebar``, ``share-price``
+    and ``comments-on-method`` do not.
+    """
+    found: set[str] = set()
+    for name in names:
+        parts = set(re.split("[-_]+", name)) - {""}
+        words = parts & (ANYWHERE | OUTSIDE)
+        if words and parts <= words | FILL:
+            found |= words
+    return found
 
 
 def role_of(tag: str, raw: str, now: int) -> int:
     """The role inside an element that opens where the role is ``now``."""
-    if now == DROPPED or tag in BOILER or (tag == "header" and now != MAIN):
-        return DROPPED
-    words, role = attributes(raw) if raw and "=" in raw else (set(), "")
-    if tag in ("html", "body"):
+    if now == DROPPED or tag in ("html", "body"):
         return now
-    if tag == "main" or role == "main" or tag == "article":
-        return DROPPED if tag == "article" and words & {"comment", "reply"} else MAIN
-    if role in ROLES or words & ANYWHERE or (now != MAIN and words & OUTSIDE):
+    names, role = attributes(raw) if raw and "=" in raw else (set(), "")
+    words = boiler_words(names)
+    if tag == "main" or role == "main":
+        return MAIN
+    if tag == "article":
+        return DROPPED if words & {"comment", "reply"} else ASIDE if now == ASIDE else MAIN
+    if tag in BOILER and tag not in ("form", "head") or role in ROLES - {"form", "banner"} or words & CLOSED:
         return DROPPED
-    return now
+    if now == ASIDE or words & MARGIN:
+        return ASIDE
+    if now == SOFT or tag in ("form", "head") or role in ROLES or words & ANYWHERE:
+        return SOFT
+    return SOFT if now != MAIN and (tag == "header" or words & OUTSIDE) else now
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
@@ -96,7 +126,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((now, text))
+                out.append((now if now in (MAIN, OPEN) else DROPPED, text))
             parts.clear()
 
     while m := TAG.search(page, at):

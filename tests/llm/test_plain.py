@@ -200,6 +200,18 @@ def test_html(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='layout has-sidebar'>", "<div id=page class=no-sidebar>", "<div class='share-price'>", "<div class=social>", "<form id=f>", "<div class='page menu-engineering'>"])
+def test_html_wrappers(wrapper):
+    read = lambda page: [t for r, t in html_text.blocks_of(page) if r == html_text.MAIN]
+    assert read(f"<body>{wrapper}<header>h</header><article><p>story</article><div class=sidebar>s</div>") == ["story"]
+    assert read(f"<body>{wrapper}<main><h1>t</h1>story</main>") == ["t", "story"]
+    inside = "<article><h2 id='comments-on-method'>m</h2><section id='related-work'>w</section><div class=share-price>p</div>{}</article>"
+    assert read(inside.replace("{}", "<div class='site-ad'>x</div><div class=cookie-notice>x</div><ul class='related-posts'><li>x</ul><div id=comments>x</div>")) == ["m", "w", "p"]
+    for proper in ("<nav>", "<aside>", "<footer>", "<div id=comments>", "<div class='site-footer'>", "<div role=navigation>"):
+        assert read(f"<body>{proper}<article>no</article>") == []
+    assert read("<body><div class=related-posts><article>no</article></div><div class=sidebar><main>yes</main></div>") == ["yes"]
+
+
 def test_suffix_runs():
     streams = ["a b c d e f".split(), "x a b c d e y".split(), "a b c".split(), "q q q q q q q".split()]
     found = html_text.runs_of([1, 2, 3, 4], streams, 5)
