@@ -8,10 +8,13 @@ is main again, as an article is unless the wrapper is a margin; navigation,
 footers, asides and comments of readers keep all that is in them dropped.  The
 words outside main blocks are a page's stream.  The streams of a host's pages
 are joined, group by group of bounded size, and a suffix array over each shows
-which runs of ``RUN`` words or more repeat across distinct pages; runs that one
-group does not decide are counted over all groups of the host.  In a page that
-declares no main block, open blocks that repeated runs cover by half or more are
-boilerplate, and the others are its text.
+which runs of ``RUN`` words repeat across distinct pages; a block of fewer words
+is a run of its own.  The pages of a run are counted over all groups of the host:
+a run belongs to the host if at least ``FEW`` + 1 pages and the share ``SHARE`` of
+the host's pages with a stream have it.  Rows of one url, and pages with the same
+stream, are one page there, so a story under several addresses stays.  In a page
+that declares no main block, open blocks that the host's runs cover by half or
+more are boilerplate, and the others are its text.
 
 Runs decide only where a page leaves it open: articles that several pages share
 are text of each of them, so repeated runs in main blocks are kept.
@@ -34,10 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import sized, small_batches, written
 
 #: Words of a run, pages of a group, and the share of a block that makes it boilerplate.
-RUN, PAGES, COVERED = 5, 256, 0.5
+RUN, PAGES, COVERED = 12, 256, 0.5
+#: So many pages may share a text that is theirs, and the share of a host's pages that makes a run the host's.
+FEW, SHARE = 3, 0.2
 MAIN, DROPPED, OPEN = 1, 0, 2
 #: While reading, dropped too: a main element in these is main again, in SOFT an article as well.
 SOFT, ASIDE = 3, 4
@@ -240,26 +245,58 @@ def runs_of(keys: list[int], streams: list[list[str]], length: int = RUN) -> lis
     return list(zip(page.tolist(), place_[order].tolist(), run.astype(np.int64).tolist(), (low != high)[group].tolist(), strict=True))
 
 
+def short_blocks(texts: list[str]) -> list[tuple[int, int]]:
+    """(place, run) of the blocks of fewer than ``RUN`` words; places are -1 - the first word's."""
+    out, at = [], 0
+    for t in texts:
+        n = t.count(" ") + 1
+        if n < RUN:
+            out.append((-1 - at, (xxhash.xxh3_64_intdigest(t) ^ n) - (1 << 63)))
+        at += n
+    return out
+
+
 def repeated(pages: DataFrame) -> DataFrame:
-    """key and the places in its stream where a repeated run begins.
+    """key and the places in its stream where a run of the host begins.
 
     The groups of a host hold about ``PAGES`` pages each, so a host of any size
-    is spread over many tasks.
+    is spread over many tasks.  A page's rows share a group, so the distinct
+    pages of a run in the groups add up.
     """
-    streams = pages.select("host", "key", F.filter(F.arrays_zip("roles", "texts"), lambda b: b["roles"] != MAIN)["texts"].alias("texts")).where("size(texts) > 0")
-    sizes = pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PAGES).alias("groups"))
-    dealt = streams.join(sizes, "host").withColumn("group", F.pmod("key", "groups"))
+    streams = pages.select("host", "url", "key", F.filter(F.arrays_zip("roles", "texts"), lambda b: b["roles"] != MAIN)["texts"].alias("texts")).where("size(texts) > 0")
+    streams = streams.withColumn("same", F.xxhash64("texts"))
+    first = streams.where("url is not null").groupBy("host", "url").agg(F.min("same").alias("page"), F.max("same").alias("last")).where("page <> last")
+    first = written(first.select("host", "url", "page"), "addresses")
+    streams = streams.join(sized(first), ["host", "url"], "left").select("host", "key", "texts", F.coalesce("page", "same").alias("page"))
+    sizes = streams.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = sized(written(sizes, "hosts"))
+    dealt = streams.join(sizes.select("host", F.ceil(F.col("pages") / PAGES).alias("groups")), "host").withColumn("group", F.pmod("page", "groups"))
 
     def run(table: pa.Table) -> pa.Table:
         host = table.column("host")[0].as_py()
-        by_key = dict(zip(table.column("key").to_pylist(), table.column("texts").to_pylist(), strict=True))
-        found = runs_of(list(by_key), [" ".join(t).split(" ") for t in by_key.values()])
-        columns = list(zip(*found, strict=True)) or [[], [], [], []]
-        return pa.table({"host": pa.array([host] * len(found), pa.string()), "key": pa.array(columns[0], pa.int64()), "place": pa.array(columns[1], pa.int32()), "run": pa.array(columns[2], pa.int64()), "repeats": pa.array(columns[3], pa.bool_())})
-
-    runs = dealt.select("host", "group", "key", "texts").groupBy("host", "group").applyInArrow(run, "host string, key long, place int, run long, repeats boolean")
+        keys = table.column("key").to_pylist()
+        texts = dict(zip(keys, table.column("texts").to_pylist(), strict=True))
+        page = dict(zip(keys, table.column("page").to_pylist(), strict=True))
+        found = [x[:3] for x in runs_of(list(texts), [" ".join(t).split(" ") for t in texts.values()], RUN)]
+        found += [(k, *x) for k, t in texts.items() for x in short_blocks(t)]
+        if not found:
+            return pa.table({"host": pa.array([], pa.string()), "key": pa.array([], pa.int64()), "place": pa.array([], pa.int32()), "run": pa.array([], pa.int64()), "pages": pa.array([], pa.int64())})
+        key, place, runs = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        # Each run's number of distinct pages stands at one of its rows, and 0 at the others.
+        owner = np.array([page[k] for k in key.tolist()], np.int64)
+        order = np.lexsort((owner, runs))
+        new = np.ones(len(order), bool)
+        new[1:] = runs[order[1:]] != runs[order[:-1]]
+        other = new.copy()
+        other[1:] |= owner[order[1:]] != owner[order[:-1]]
+        counts = np.zeros(len(order), np.int64)
+        counts[order[new]] = np.add.reduceat(other.astype(np.int64), np.flatnonzero(new))
+        return pa.table({"host": pa.array([host] * len(key), pa.string()), "key": key, "place": pa.array(place, pa.int32()), "run": runs, "pages": counts})
+
+    runs = dealt.select("host", "group", "key", "page", "texts").groupBy("host", "group").applyInArrow(run, "host string, key long, place int, run long, pages long")
     runs = written(runs, "runs")
-    everywhere = runs.groupBy("host", "run").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max("repeats").alias("repeats")).where("low <> high or repeats").select("host", "run")
+    counted = runs.groupBy("host", "run").agg(F.sum("pages").alias("n")).where(F.col("n") > FEW)
+    everywhere = counted.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "run")
     return runs.join(everywhere, ["host", "run"]).groupBy("key").agg(F.collect_set("place").alias("places"))
 
 
@@ -268,13 +305,13 @@ def kept_blocks(roles: list[int], texts: list[str], places: list[int] | None) ->
     if MAIN in roles:
         return [t for r, t in zip(roles, texts, strict=True) if r == MAIN]
     starts = set(places or ())
-    covered = {p + i for p in starts for i in range(RUN)}
+    covered = {p + i for p in starts if p >= 0 for i in range(RUN)}
     out, at = [], 0
     for r, t in zip(roles, texts, strict=True):
         end = at + t.count(" ") + 1
         # A run that comes in from another block counts only if it takes in this one whole.
         inside = {p + i for p in range(at, end - RUN + 1) if p in starts for i in range(RUN)}
-        if r == OPEN and len(inside) < COVERED * (end - at) and not all(i in covered for i in range(at, end)):
+        if r == OPEN and -1 - at not in starts and len(inside) < COVERED * (end - at) and not all(i in covered for i in range(at, end)):
             out.append(t)
         at = end
     return out

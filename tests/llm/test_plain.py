@@ -212,6 +212,28 @@ def test_html_wrappers(wrapper):
     assert read("<body><div class=related-posts><article>no</article></div><div class=sidebar><main>yes</main></div>") == ["yes"]
 
 
+def hosted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(html_text.main_text(df.repartition(3)).collect())]
+
+
+def test_html_shared_story(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PAGES", 4)  # a host of several groups
+    menu = "".join(f"<li>entry {i}</li>" for i in range(9))
+    own = [" ".join(f"w{i}x{k}" for k in range(30)) + " as of this day and year" for i in range(30)]
+    story = " ".join(f"story{k}" for k in range(40))
+    pages = [(f"http://s.example/{i}", f"<ul>{menu}</ul><p>{x}</p><div>all rights reserved here</div>") for i, x in enumerate(own)]
+    pages += [(f"http://s.example/copy{i}", f"<ul>{menu}</ul><h2>{i}. print</h2><p>{story}</p>") for i in range(3)]
+    pages += [("http://s.example/again", f"<ul>{menu}</ul><p>{story}</p><p>crawl {i}</p>") for i in range(12)]
+    pages += [(f"http://s.example/second{i}", f"<ul>{menu}</ul><p>{own[0]} more</p>") for i in range(12)]
+    got = hosted(spark, pages)
+    assert got[:30] == own
+    assert got[30:33] == [f"{i}. print\n{story}" for i in range(3)]
+    assert got[33:45] == [f"{story}\ncrawl {i}" for i in range(12)]
+    assert got[45:] == [own[0] + " more"] * 12
+    assert hosted(spark, [(f"http://two.example/{i}", f"<p>{story}</p><p>{i}</p>") for i in range(2)]) == [f"{story}\n{i}" for i in range(2)]
+
+
 def test_suffix_runs():
     streams = ["a b c d e f".split(), "x a b c d e y".split(), "a b c".split(), "q q q q q q q".split()]
     found = html_text.runs_of([1, 2, 3, 4], streams, 5)
