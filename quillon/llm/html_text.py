@@ -12,9 +12,11 @@ which runs of ``RUN`` words repeat across distinct pages; a block of fewer words
 is a run of its own.  The pages of a run are counted over all groups of the host:
 a run belongs to the host if at least ``FEW`` + 1 pages and the share ``SHARE`` of
 the host's pages with a stream have it.  Rows of one url, and pages with the same
-stream, are one page there, so a story under several addresses stays.  In a page
-that declares no main block, open blocks that the host's runs cover by half or
-more are boilerplate, and the others are its text.
+stream, are one page there, so a story under several addresses stays.  Open blocks
+that the host's runs cover by half or more are boilerplate; the others are text,
+in page order with the main blocks, also in a page that declares some.  Only where
+all of them beside main blocks are fewer words than a run are they left out, for
+runs cannot judge them.
 
 Runs decide only where a page leaves it open: articles that several pages share
 are text of each of them, so repeated runs in main blocks are kept.
@@ -177,20 +179,20 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, key, and the blocks' roles and texts of each page."""
+    """page_id, url, host, and the blocks' roles and texts of each page."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    rows = rows.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), F.xxhash64("page_id", "url", "html").alias("key"), "html")
+    rows = rows.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks_of(x) for x in batch.column(4).to_pylist()]
+            found = [blocks_of(x) for x in batch.column(3).to_pylist()]
             roles = pa.array([[r for r, _ in b] for b in found], pa.list_(pa.int32()))
             texts = pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], roles, texts], names=["page_id", "url", "host", "key", "roles", "texts"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], roles, texts], names=["page_id", "url", "host", "roles", "texts"])
 
-    return rows.mapInArrow(run, "page_id long, url string, host string, key long, roles array<int>, texts array<string>")
+    return rows.mapInArrow(run, "page_id long, url string, host string, roles array<int>, texts array<string>")
 
 
 def suffix_ranks(codes: np.ndarray, length: int) -> np.ndarray:
@@ -256,81 +258,76 @@ def short_blocks(texts: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def streamed(pages: DataFrame) -> DataFrame:
+    """``pages`` with the texts of their streams, and a hash of these: same."""
+    outside = F.filter(F.arrays_zip("roles", "texts"), lambda b: b["roles"] != MAIN)["texts"]
+    return pages.withColumn("stream", outside).withColumn("same", F.xxhash64("stream"))
+
+
 def repeated(pages: DataFrame) -> DataFrame:
-    """key and the places in its stream where a run of the host begins.
+    """host, same and the places in that stream where a run of the host begins.
 
-    The groups of a host hold about ``PAGES`` pages each, so a host of any size
-    is spread over many tasks.  A page's rows share a group, so the distinct
-    pages of a run in the groups add up.
+    The groups of a host hold about ``PAGES`` different streams each, so a host
+    of any size is spread over many tasks.
     """
-    streams = pages.select("host", "url", "key", F.filter(F.arrays_zip("roles", "texts"), lambda b: b["roles"] != MAIN)["texts"].alias("texts")).where("size(texts) > 0")
-    streams = streams.withColumn("same", F.xxhash64("texts"))
+    streams = streamed(pages).where("size(stream) > 0").select("host", "url", "same", "stream")
     first = streams.where("url is not null").groupBy("host", "url").agg(F.min("same").alias("page"), F.max("same").alias("last")).where("page <> last")
     first = written(first.select("host", "url", "page"), "addresses")
-    streams = streams.join(sized(first), ["host", "url"], "left").select("host", "key", "texts", F.coalesce("page", "same").alias("page"))
-    sizes = streams.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    sizes = sized(written(sizes, "hosts"))
-    dealt = streams.join(sizes.select("host", F.ceil(F.col("pages") / PAGES).alias("groups")), "host").withColumn("group", F.pmod("page", "groups"))
+    once = streams.join(sized(first), ["host", "url"], "left").groupBy("host", "same").agg(F.min(F.coalesce("page", "same")).alias("page"), F.first("stream").alias("stream"))
+    once = written(once, "streams")
+    sizes = sized(written(once.groupBy("host").agg(F.count_distinct("page").alias("pages"), F.ceil(F.count(F.lit(1)) / PAGES).alias("groups")), "hosts"))
+    dealt = once.join(sizes.select("host", "groups"), "host").withColumn("group", F.pmod("same", "groups"))
 
     def run(table: pa.Table) -> pa.Table:
         host = table.column("host")[0].as_py()
-        keys = table.column("key").to_pylist()
-        texts = dict(zip(keys, table.column("texts").to_pylist(), strict=True))
-        page = dict(zip(keys, table.column("page").to_pylist(), strict=True))
+        texts = dict(zip(table.column("same").to_pylist(), table.column("stream").to_pylist(), strict=True))
+        page = dict(zip(texts, table.column("page").to_pylist(), strict=True))
         found = [x[:3] for x in runs_of(list(texts), [" ".join(t).split(" ") for t in texts.values()], RUN)]
         found += [(k, *x) for k, t in texts.items() for x in short_blocks(t)]
-        if not found:
-            return pa.table({"host": pa.array([], pa.string()), "key": pa.array([], pa.int64()), "place": pa.array([], pa.int32()), "run": pa.array([], pa.int64()), "pages": pa.array([], pa.int64())})
-        key, place, runs = (np.array(x, np.int64) for x in zip(*found, strict=True))
-        # Each run's number of distinct pages stands at one of its rows, and 0 at the others.
-        owner = np.array([page[k] for k in key.tolist()], np.int64)
-        order = np.lexsort((owner, runs))
-        new = np.ones(len(order), bool)
-        new[1:] = runs[order[1:]] != runs[order[:-1]]
-        other = new.copy()
-        other[1:] |= owner[order[1:]] != owner[order[:-1]]
-        counts = np.zeros(len(order), np.int64)
-        counts[order[new]] = np.add.reduceat(other.astype(np.int64), np.flatnonzero(new))
-        return pa.table({"host": pa.array([host] * len(key), pa.string()), "key": key, "place": pa.array(place, pa.int32()), "run": runs, "pages": counts})
-
-    runs = dealt.select("host", "group", "key", "page", "texts").groupBy("host", "group").applyInArrow(run, "host string, key long, place int, run long, pages long")
+        same, place, runs = list(zip(*found, strict=True)) or [[], [], []]
+        return pa.table({"host": pa.array([host] * len(found), pa.string()), "same": pa.array(same, pa.int64()), "page": pa.array([page[k] for k in same], pa.int64()), "place": pa.array(place, pa.int32()), "run": pa.array(runs, pa.int64())})
+
+    runs = dealt.select("host", "group", "same", "page", "stream").groupBy("host", "group").applyInArrow(run, "host string, same long, page long, place int, run long")
     runs = written(runs, "runs")
-    counted = runs.groupBy("host", "run").agg(F.sum("pages").alias("n")).where(F.col("n") > FEW)
+    counted = runs.select("host", "run", "page").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
     everywhere = counted.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "run")
-    return runs.join(everywhere, ["host", "run"]).groupBy("key").agg(F.collect_set("place").alias("places"))
+    return runs.join(everywhere, ["host", "run"]).groupBy("host", "same").agg(F.collect_set("place").alias("places"))
 
 
 def kept_blocks(roles: list[int], texts: list[str], places: list[int] | None) -> list[str]:
-    """The blocks of the text: main ones, or else the open ones that are not boilerplate."""
-    if MAIN in roles:
-        return [t for r, t in zip(roles, texts, strict=True) if r == MAIN]
+    """The blocks of the text: main ones, and the open ones that are not boilerplate."""
     starts = set(places or ())
     covered = {p + i for p in starts if p >= 0 for i in range(RUN)}
-    out, at = [], 0
+    out, at, words = [], 0, 0
     for r, t in zip(roles, texts, strict=True):
+        if r == MAIN:  # not in the stream
+            out.append((r, t))
+            continue
         end = at + t.count(" ") + 1
         # A run that comes in from another block counts only if it takes in this one whole.
         inside = {p + i for p in range(at, end - RUN + 1) if p in starts for i in range(RUN)}
         if r == OPEN and -1 - at not in starts and len(inside) < COVERED * (end - at) and not all(i in covered for i in range(at, end)):
-            out.append(t)
+            out.append((r, t))
+            words += end - at
         at = end
-    return out
+    beside = MAIN not in roles or words >= RUN
+    return [t for r, t in out if r == MAIN or beside]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     read = written(parsed(pages), "blocks")
     hits = repeated(read)
-    undecided = ~F.array_contains("roles", MAIN) & F.array_contains("roles", OPEN)
+    undecided = F.array_contains("roles", OPEN)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = ["\n".join(kept_blocks(*x)) for x in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    # Pages that declare their main text need no runs, so their blocks are not shuffled.
+    # Pages that declare the role of all their blocks need no runs, so their blocks are not shuffled.
     sure = read.where(~undecided).withColumn("places", F.lit(None).cast("array<int>"))
-    other = read.where(undecided).join(hits, "key", "left")
+    other = streamed(read.where(undecided)).join(hits, ["host", "same"], "left")
     columns = ["page_id", "url", "roles", "texts", "places"]
     out = sure.select(columns).unionByName(other.select(columns)).mapInArrow(assemble, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

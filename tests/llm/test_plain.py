@@ -234,6 +234,14 @@ def test_html_shared_story(spark, monkeypatch):
     assert hosted(spark, [(f"http://two.example/{i}", f"<p>{story}</p><p>{i}</p>") for i in range(2)]) == [f"{story}\n{i}" for i in range(2)]
 
 
+def test_html_body_beside_articles(spark):
+    menu = "<div>" + " ".join(f"entry{i}" for i in range(15)) + "</div>"
+    body = [" ".join(f"b{i}x{k}" for k in range(20)) for i in range(6)]
+    teaser = "<article class=card>read this too</article>"
+    pages = [(f"http://t.example/{i}", f"{menu}<h1>Head {i}</h1>{teaser if i % 2 else ''}<p>{x}</p>") for i, x in enumerate(body)]
+    assert hosted(spark, pages) == [f"Head {i}\n" + "read this too\n" * (i % 2) + x for i, x in enumerate(body)]
+
+
 def test_suffix_runs():
     streams = ["a b c d e f".split(), "x a b c d e y".split(), "a b c".split(), "q q q q q q q".split()]
     found = html_text.runs_of([1, 2, 3, 4], streams, 5)
