@@ -14,8 +14,8 @@ With 32 trees and a recall of 0.9999 at 0.8 the prefix has six hashes; pairs
 that are more alike are missed less often.
 
 Edge cases: null counts as empty; texts without words are copies of one another
-and unlike all others; repeated rows each count; null ``doc_id`` is allowed;
-an empty table gives no rows; other columns are not read (``one_of_each`` keeps
+and unlike all others; repeated rows each count; null ``doc_id`` is allowed, and
+greater than others; an empty table gives no rows; other columns are not read (``one_of_each`` keeps
 them).
 """
 
@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import sized, small_batches, text_of, written
 from .components import components
@@ -205,6 +206,14 @@ def near_classes(docs: DataFrame, size: int = WORDS, similarity: float = SIMILAR
     Two documents are linked if their shingle sets' Jaccard similarity is at
     least ``similarity``; copies are linked; a class is what links connect.
     """
+    return classified(docs, size, similarity, trees, recall).select("doc_id", "class_id", "n_links")
+
+
+def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """The rows of ``near_classes`` with node, and with first: whether the class keeps the row.
+
+    Rows of one doc_id and node are all first if one is.
+    """
     small_batches(docs.sparkSession)
     forest = Forest(trees, prefix_length(similarity, recall, trees))
     marked = written(signed(docs, size, forest), "signed")
@@ -222,11 +231,11 @@ def near_classes(docs: DataFrame, size: int = WORDS, similarity: float = SIMILAR
     found = components(pairs.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = pairs.groupBy("node").agg(F.sum("links").alias("links"))
     linked = found.join(links, "node").join(nodes.select("node", "low"), "node")
-    least = linked.groupBy("label").agg(F.min("low").alias("class_id"))
-    linked = written(linked.join(least, "label").select("node", "class_id", "links"), "linked")
+    least = linked.groupBy("label").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), F.col("low"), F.col("node")))["node"].alias("keeper"))
+    linked = written(linked.join(least, "label").select("node", "class_id", "keeper", "links"), "linked")
 
-    known = nodes.select("node", "copies", "low").join(linked, "node", "left").select("node", F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return marked.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links")
+    known = nodes.select("node", "copies", "low").join(linked, "node", "left").select("node", "low", F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.coalesce("keeper", "node") == F.col("node")).alias("keeps"))
+    return marked.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "node", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("low"))).alias("first"))
 
 
 def with_node(rows: DataFrame) -> DataFrame:
@@ -244,11 +253,21 @@ def with_node(rows: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["node"])
 
 
+@F.arrow_udf(BinaryType())
+def text_node(text: pa.Array) -> pa.Array:
+    return pa.array([node_of(words_of(t)) for t in text.to_pylist()], pa.binary())
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: that of the least doc_id."""
-    classes = written(near_classes(docs), "classes")
-    gone = written(classes.where("not (doc_id <=> class_id)").select(F.col("doc_id").alias("__gone")), "near-gone")
-    left = docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():  # ids that repeat
-        left = left.dropDuplicates(["doc_id", "text"])
-    return left
+    """``docs`` with one row of each class: that of the least doc_id.
+
+    An id alone does not tell a row, since it may be null or stand on several
+    texts, so rows go by their id and their node.
+    """
+    classes = written(classified(docs), "classes")
+    gone = written(classes.where("not first").select(F.col("doc_id").alias("__gone"), F.col("node").alias("__off")), "near-gone")
+    keyed = docs.withColumn("__node", text_node(text_of()))
+    left = keyed.join(sized(gone), (F.col("__node") == F.col("__off")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    if classes.where("first").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # rows that repeat with one doc_id
+        left = left.dropDuplicates(["doc_id", "__node"])
+    return left.drop("__node")

@@ -176,6 +176,19 @@ def test_near_join(spark, monkeypatch):
     assert near_join.near_classes(odd).count() == 4
 
 
+def test_one_of_each_by_id_and_text(spark):
+    text = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcdefg"}
+    near = {c: t + " end" for c, t in text.items()}
+    docs = [(1, text["a"]), (None, near["a"]), (None, text["b"]), (None, text["c"])]  # a null id near another, and unrelated ones
+    docs += [(2, text["d"]), (5, near["d"]), (5, text["e"])]  # an id on a copy and on a text of its own
+    docs += [(None, text["f"]), (None, near["f"]), (7, text["g"]), (7, near["g"]), (7, near["g"].upper())]  # classes of one id
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    left = near_join.one_of_each(df)
+    assert left.columns == df.columns
+    got = sorted(((r.doc_id or 0, r.text[0].lower()) for r in left.collect()))
+    assert got == [(0, "b"), (0, "c"), (0, "f"), (1, "a"), (2, "d"), (5, "e"), (7, "g")]
+
+
 def test_prefix_length():
     n = near_join.prefix_length()
     promise = lambda k: 1 - (1 - 0.8**k) ** near_join.TREES
