@@ -155,7 +155,7 @@ def more_spans() -> str:
     limit = "case x.k " + " ".join(f"when {KINDS.index(k)} then {v!r}D" for k, v in limits.items() if v != float("inf")) + " else double('infinity') end"
     proposed = "concat(" + ", ".join(found(p, needs, KINDS.index(k)) for k, (p, needs) in MORE.items()) + ")"
     chosen = f"aggregate(array(array({', '.join(features_sql())})), 0D, (a, f) -> {score}) >= {limit}"
-    return f"if(t rlike '[0-9]{{2}}|[(\\\\[]at[)\\\\]]|[A-Za-z0-9_-]{{20}}', filter({proposed}, x -> {chosen}), {EMPTY_SPANS})"
+    return f"filter({proposed}, x -> {chosen})"
 
 
 def with_spans(df: DataFrame, text: Column) -> DataFrame:

@@ -58,6 +58,14 @@ def test_pii_model_and_redaction(spark):
     assert rows[1].t == "en" and rows[1].n_email == 5 and rows[2].text is None and "[EMAIL]" in rows[3].text
 
 
+def test_pii_generators_need_nothing_else(spark):
+    """An address without two digits in a row is found, whatever else the text has."""
+    text = "mac a1:b2:c3:d4:e5:f6 of the device"
+    df = spark.createDataFrame([(0, text), (1, text + " 12")], "doc_id long, text string")
+    assert [r.spans for r in pii.scan(df).collect()] == ["mac:4:21"] * 2
+    assert pii.redact(df).where("doc_id = 0").first().text == "mac [MAC] of the device"
+
+
 def groups(texts):
     out = {}
     for i, t in texts:
