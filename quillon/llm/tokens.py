@@ -3,6 +3,9 @@
 Both vocabularies here never merge across a space between two visible
 characters, so a text is cut there, each word is encoded once per cache
 generation, and a document's ids are the joined bytes of its words.
+
+Special tokens that a text spells out are their own ids, as in the tokenizer's
+plain ``encode(text, add_special_tokens=False)``; a text is cut at them first.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        added = {t.content: struct.pack("<I", i) for i, t in self.model.get_added_tokens_decoder().items() if t.special}
+        self.special = added
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        # What stands between special tokens has none, but its lower-cased words may look like one.
         self.model.encode_special_tokens = True
         self.keep_space = keep_space
         # Between words that are encoded together: a line break, or a sign that stands alone.
@@ -127,6 +134,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterable[bytes]:
         """The ids of each text, without an end id."""
+        if not any(s in t for s in self.special for t in texts):
+            yield from self.plain(texts)
+            return
+        # Every second part is a special token.
+        parts = [self.at_special.split(t) for t in texts]
+        between = iter(self.plain([p for cut in parts for p in cut[::2]]))
+        for cut in parts:
+            yield b"".join([self.special[p] if k % 2 else next(between) for k, p in enumerate(cut)])
+
+    def plain(self, texts: list[str]) -> Iterable[bytes]:
+        """The ids of texts without special tokens."""
         cuts = [self.pieces(t) for t in texts]
         far = self.learn(set().union(*cuts))
         new, skip = self.new, len(self.break_id)

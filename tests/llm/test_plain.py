@@ -31,6 +31,21 @@ def test_cached_ids_are_the_tokenizers_own(texts, name):
             assert np.frombuffer(ids, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte", "word"])
+def test_special_tokens_are_the_tokenizers_own(name):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path({"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}[name]))
+    model = {"byte": tokens.byte_encoder, "word": tokens.word_encoder}[name]()
+    end, start = "<|endoftext|>", "<|startoftext|>"
+    odd = [f"a {end} b", f"inside{end}word", f"{end}, {end}!", f"x{end}{end}\n\n y", end, f" {end} ", f"{end.upper()} a{start.upper()}", f"{start}Hi there.{end}", f"a{end[:-1]} b {start}"]
+    rng = random.Random(6)
+    odd += ["".join(rng.choice([end, start, " ", "a", "Bc", "\n", ".", "İ", "é", end[:5]]) for _ in range(12)) for _ in range(300)]
+    for _ in range(2):
+        for t, ids in zip(odd, model.encode(odd), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_token_file_reads_any_token():
     rng = random.Random(2)
     ids = np.array([rng.choice([0, 255, 256, 50_256, 70_000, 2**32 - 1]) for _ in range(3000)])
