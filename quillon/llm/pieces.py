@@ -1,14 +1,16 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merges of the byte-fallback vocabulary are taken from an agenda, best score
-first.  Each candidate that comes up is skipped if a keyed hash of (seed,
-variant, word, place, piece) falls under the dropout rate, so a document's
-segmentation is reproducible, and documents of different variants are cut
-differently.  With rate 0 the ids are the library's own.  Whatever is skipped,
-the pieces spell the text, and decoding gives it back, byte by byte.
+first.  Each candidate that comes up is skipped with the dropout rate, by a keyed
+hash of (seed, document, place of the word in the text, number of the skip), so a
+document's segmentation is reproducible, and each occurrence of a word is cut by
+itself.  The hash gives how many candidates pass until the next skip.  With rate 0
+the ids are the library's own.  Whatever is skipped, the pieces spell the text,
+and decoding gives it back, byte by byte.
 
-No piece has a space after another character, so words are encoded one by one
-and kept in a bounded cache for each variant.
+No piece has a space after another character, so words are encoded one by one.
+A bounded cache holds what is left of a word once certain candidates are skipped,
+which no document decides; what is skipped is drawn anew for each occurrence.
 
 Edge cases: null and empty texts have no ids; characters outside the vocabulary,
 and the sign that stands for a space, become bytes; repeated rows each give a
@@ -18,9 +20,11 @@ row; null ``doc_id`` is allowed; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -31,10 +35,28 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_of
 
-RATE, VARIANTS, SEED = 0.1, 4, 4_099
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+RATE, SEED = 0.1, 4_099
+#: Words and further states of words that the cache holds, and the longest word there.
+CACHE_WORDS, CACHE_STATES, CACHE_CHARS = 250_000, 500_000, 48
 MARKS = ".,;:!?%$#&*|"
 MASK = (1 << 64) - 1
+NEVER = 1 << 62
+
+
+class State:
+    """A word after some skips: its ids if no more follow, and the candidates left for these."""
+
+    __slots__ = ("ids", "word", "skips", "left", "after")
+
+    def __init__(self, ids: bytes, word: str, skips: tuple[int, ...], left: int):
+        self.ids, self.word, self.skips, self.left = ids, word, skips, left
+        self.after: dict[int, State] = {}
+
+
+def mixed(x: int) -> int:
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+    return x ^ (x >> 31)
 
 
 class Pieces:
@@ -63,16 +85,21 @@ class Pieces:
         marks = set(MARKS)
         self.breaks = not any("\n" in p for p in self.ids)
         self.over = [p for p in self.ids if any(a.isalnum() and b in marks for a, b in zip(p, p[1:], strict=False))]
-        self.limit, self.seed = int(rate * (1 << 24)), seed
-        self.caches: dict[int, dict[str, bytes]] = {}
+        self.rate, self.seed = rate, seed
+        self.scale = 0.0 if rate >= 1 else 1 / math.log1p(-rate) if rate > 0 else -float(NEVER)
+        self.cache: dict[str, tuple[State | str, ...]] = {}
+        self.states = 0
+
+    def merged(self, word: str, passing: Iterable[int]) -> tuple[list[str], int]:
+        """The pieces and single characters that the agenda leaves of a word, and the candidates that came up.
 
-    def merged(self, word: str, variant: int) -> list[str]:
-        """The pieces and single characters that the agenda leaves of a word."""
+        ``passing``: how many candidates pass before the first skip, the second ...
+        """
         part: list[str] = list(word)
         n = len(part)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        scores, limit = self.scores, self.limit
-        key = xxhash.xxh3_64_intdigest(word.encode(), seed=self.seed * 65_537 + variant) if limit else 0
+        scores, gaps = self.scores, iter(passing)
+        until, came, skipped = next(gaps), 0, set()
         agenda = [(scores[p], i, p) for i in range(n - 1) if (p := part[i] + part[i + 1]) in scores]
         heapq.heapify(agenda)
         while agenda:
@@ -80,8 +107,14 @@ class Pieces:
             j = after[i]
             if not part[i] or j >= n or part[i] + part[j] != piece:
                 continue
-            if limit and ((key ^ (i * 0x9E3779B97F4A7C15 + self.ids[piece] * 0xC2B2AE3D27D4EB4F)) * 0xFF51AFD7ED558CCD & MASK) >> 40 < limit:
+            if (i, piece) in skipped:
+                continue
+            came += 1
+            if not until:
+                skipped.add((i, piece))
+                until = next(gaps)
                 continue
+            until -= 1
             part[i], part[j] = piece, ""
             after[i] = k = after[j]
             if k < n:
@@ -91,11 +124,11 @@ class Pieces:
             h = before[i]
             if h >= 0 and (p := part[h] + piece) in scores:
                 heapq.heappush(agenda, (scores[p], h, p))
-        return [p for p in part if p]
+        return [p for p in part if p], came
 
-    def word_ids(self, word: str, variant: int) -> bytes:
+    def packed(self, parts: list[str]) -> bytes:
         out: list[int] = []
-        for p in self.merged(word, variant):
+        for p in parts:
             if (i := self.ids.get(p)) is not None:
                 out.append(i)
             else:
@@ -118,17 +151,60 @@ class Pieces:
                 out.append(" ")
         return joined_spaces(out) if " " in out else out
 
+    def gap(self, key: int) -> int:
+        """Candidates that pass before a skip: geometric, from a hash."""
+        return int(min(math.log(((mixed(key) >> 11) + 1) / (1 << 53)) * self.scale, NEVER))
+
+    def gaps(self, key: int, first: int) -> Iterator[int]:
+        """All gaps of one word of a text, whose key this is."""
+        yield first
+        for k in itertools.count(1):
+            yield self.gap((key ^ k * 0xC2B2AE3D27D4EB4F) & MASK)
+
+    def first_gaps(self, key: int, n: int) -> list[int]:
+        """The first gap of each of the n words of a text."""
+        x = np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        u = ((x >> np.uint64(11)) + np.uint64(1)).astype(np.float64) / (1 << 53)
+        return np.minimum(np.log(u) * self.scale, NEVER).astype(np.int64).tolist()
+
     def encode(self, text: str, variant: int = 0) -> bytes:
-        """ids, unsigned 32-bit little endian."""
-        cache = self.caches.setdefault(variant, {})
-        return b"".join([cache.get(w) or self.learn(w, variant, cache) for w in self.words(text)])
+        """ids, unsigned 32-bit little endian; ``variant`` is any number, such as a document's key."""
+        cache, parts = self.cache, []
+        for w in self.words(text):
+            parts += cache.get(w) or self.learn(w)
+        if not self.rate:
+            return b"".join([p.ids if p.__class__ is State else self.packed(self.merged(p, (NEVER,))[0]) for p in parts])
+        key = xxhash.xxh3_64_intdigest(struct.pack("<Q", variant & MASK), seed=self.seed)
+        gaps = self.first_gaps(key, len(parts))
+        return b"".join([p.ids if p.__class__ is State and g >= p.left else self.varied(p, (key + (k + 1) * 0x9E3779B97F4A7C15) & MASK, g) for k, (p, g) in enumerate(zip(parts, gaps, strict=True))])
+
+    def varied(self, part: State | str, key: int, first: int) -> bytes:
+        """The ids of a part of which something may be skipped."""
+        gaps = self.gaps(key, first)
+        if part.__class__ is str:
+            return self.packed(self.merged(part, gaps)[0])
+        for g in gaps:
+            if g >= part.left:
+                return part.ids
+            if g not in part.after:
+                part.after[g] = self.state(part.word, (*part.skips, g))
+            part = part.after[g]
+
+    def state(self, word: str, skips: tuple[int, ...] = ()) -> State:
+        parts, came = self.merged(word, (*skips, NEVER))
+        self.states += 1
+        return State(self.packed(parts), word, skips, came - sum(skips) - len(skips))
 
-    def learn(self, word: str, variant: int, cache: dict[str, bytes]) -> bytes:
-        """The ids of a word, put into the cache.
+    def learn(self, word: str) -> tuple[State | str, ...]:
+        """The parts of a word that are cut by themselves, put into the cache; long ones are no states.
 
         No piece goes over a line break, nor (but for ``self.over``) from a
         letter or digit to a mark, so what stands between them is looked up alone.
         """
+        cache = self.cache
         bare = word.rstrip(MARKS)
         if "\n" in word and self.breaks:
             first, *rest = word.split("\n")
@@ -138,12 +214,13 @@ class Pieces:
         else:
             parts = []
         if len(parts) > 1 and word != "\n":
-            found = b"".join([cache.get(p) or self.learn(p, variant, cache) for p in parts if p])
+            found = tuple([x for p in parts if p for x in cache.get(p) or self.learn(p)])
         else:
-            found = self.word_ids(word, variant)
+            found = (self.state(word) if len(word) <= CACHE_CHARS else word,)
         if len(word) <= CACHE_CHARS:
-            if len(cache) > CACHE_WORDS:
+            if len(cache) > CACHE_WORDS or self.states > CACHE_STATES:
                 cache.clear()
+                self.states = 0
             cache[word] = found
         return found
 
@@ -173,10 +250,10 @@ def joined_spaces(parts: list[str]) -> list[str]:
     return [*out, run] if run else out
 
 
-def encoded(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """doc_id, n_tokens, ids (binary), decoded (text), of every document.
 
-    The variant of a document is a keyed hash of its id.
+    A document's key is a hash of its id and text.
     """
     small_batches(docs.sparkSession)
 
@@ -187,5 +264,5 @@ def encoded(docs: DataFrame, path: str | None = None, rate: float = RATE, seed:
             texts = [model.decode(x) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_crc32", "ids", "decoded"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(variants)).alias("variant"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), "doc_id", text_of()).alias("variant"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, ids binary, decoded string")

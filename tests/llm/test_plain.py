@@ -142,6 +142,27 @@ def test_pieces(spark, texts):
         assert r.ids_crc32 == zlib.crc32(bytes(r.ids)) and len(r.ids) == 4 * r.n_tokens
 
 
+def test_pieces_vary_with_place_and_document(spark):
+    varied, word = pieces.Pieces(), " communication"
+    plain, sizes = pieces.Pieces(rate=0.0).encode(word[1:]), {}  # some skips lead there by another way
+    for v in range(3000):
+        ids = varied.encode(word[1:], v)
+        sizes[ids] = sizes.get(ids, 0) + 1
+    assert len(sizes) > 8
+    _, came = varied.merged(word, (pieces.NEVER,))
+    whole = [g >= came for g in varied.first_gaps(77, 20_000)]
+    assert abs(sum(whole) / 20_000 - 0.9**came) < 0.02 and sizes[plain] / 3000 > 0.9**came  # each candidate is skipped with the rate
+    docs = [(i, "communication " * 400) for i in range(3)] + [(None, "communication " * 400 + "x"), (None, "communication " * 400 + "y")]
+    rows = pieces.encoded(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len({bytes(r.ids)[:400] for r in rows}) == 5
+    long = "internationalcommunication" * 40  # not in the cache, and cut as if it were
+    assert varied.decode(varied.encode(long, 5)) == long and varied.encode(long, 5) != varied.encode(long, 6)
+    for w in ("international", "a" * 40, "communication's"):
+        key, first = 12345, 1
+        found = varied.packed(varied.merged(" " + w, varied.gaps(key, first))[0])
+        assert found == varied.varied(varied.state(" " + w), key, first)
+
+
 def brute(docs):
     sets = {}
     for i, t in docs:
