@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its counted rows are at most this many.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,14 +56,38 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 250, size: int = 4 << 20) -> None:
-    """Bound what one Arrow batch holds; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch, since texts can be long.
+
+    Plans are lazy, so the bound cannot be taken back when they are built.  It is
+    one and the same for all operators, a smaller one of the session's stays, and
+    no result depends on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"(\d+)([kmgtp]?)", spark.conf.get(name).lower())
+    if int(held[1]) << 10 * " kmgtp".index(held[2] or " ") > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def running_sum(df: DataFrame, key: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """``df`` with ``name``: the sum of the values of lesser keys (whole numbers, each once).
+
+    Sums of ranges of ``width`` keys come first; one task sees only those.
+    """
+    block = F.floor(F.col(key) / width)
+    sums = df.groupBy(block.alias("__block")).agg(F.sum(value).alias("__sum"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__block", F.coalesce(F.sum("__sum").over(earlier(Window.orderBy("__block"))), F.lit(0)).alias("__base"))
+    rows = df.withColumn("__block", block).join(sums, "__block")
+    inside = F.coalesce(F.sum(value).over(earlier(Window.partitionBy("__block").orderBy(key))), F.lit(0))
+    return rows.withColumn(name, (F.col("__base") + inside).cast("long")).drop("__block", "__base")
 
 
 def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:
-    """Partitions for a shuffle of ``df`` so that one holds about ``each`` bytes of its files."""
+    """Partitions for a shuffle of ``df`` so that one holds about ``each`` bytes of its files.
+
+    Rows that do not come from files have no known size; they take the session's number.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1_000_000, -(-size // each)))
+    return least if size > 1 << 53 else max(least, min(1_000_000, -(-size // each)))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, small_batches, written
+from .common import sized, bounded_batches, written
 
 #: Words of a run, pages of a group, and the share of a block that makes it boilerplate.
 RUN, PAGES, COVERED = 12, 256, 0.5
@@ -180,7 +180,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
 
 def parsed(pages: DataFrame) -> DataFrame:
     """page_id, url, host, and the blocks' roles and texts of each page."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = rows.select("page_id", "url", F.coalesce(host, F.lit("")).alias("host"), "html")

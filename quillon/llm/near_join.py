@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import sized, small_batches, text_of, written
+from .common import sized, bounded_batches, text_of, written
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -214,7 +214,7 @@ def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARIT
 
     Rows of one doc_id and node are all first if one is.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     forest = Forest(trees, prefix_length(similarity, recall, trees))
     marked = written(signed(docs, size, forest), "signed")
     nodes = written(marked.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("keys").alias("keys")), "nodes")

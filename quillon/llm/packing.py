@@ -6,8 +6,13 @@ first, into the first bin with room, found in a tournament tree of the bins'
 free capacities.  Bins that are still not full are then filled from the least
 filled ones by cutting, so that a group has one sequence with padding at most.
 
-Edge cases: null or empty text is its end id alone; repeated rows are packed
-each; an empty table gives no rows; other columns are not read.
+Documents are dealt by a hash of id and text, so null ids and ids that repeat are
+spread; a group that is crowded all the same is packed in parts of bounded size.
+
+Edge cases: null or empty text is its end id alone; a very long text is cut into
+full sequences and a rest; repeated rows are packed each, and of equal lengths
+the one that comes first goes first; an empty table gives no rows; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,18 +20,20 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
-from .tokens import END_ID, word_encoder
+from .common import bounded_batches, partitions_for, text_of
+from .tokens import word_encoder
 
 CAPACITY = 4096
 #: Documents of a group, on average.
 GROUP = 1024
+#: A group of so many times its documents, or of so many ids, is packed in parts.
+CROWDED, HELD = 8, 32 << 20
 SEED = 20_011
-END = END_ID.to_bytes(4, "little")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -91,37 +98,48 @@ def topped_up(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[lis
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, seed: int = SEED) -> DataFrame:
     """One row a piece; sequence_id names a sequence, offset is the place there."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(docs.sparkSession)
     groups = max(1, -(-docs.select(F.count(F.lit(1))).first()[0] // group))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.length("text")), F.lit(groups)))
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
     schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
 
-    def packed(number: int, ids: list[int | None], encoded: list[bytes]) -> pa.RecordBatch:
+    def packed(number: int, sequence: int, doc_ids: list[int | None], encoded: list[np.ndarray]) -> tuple[pa.RecordBatch, int]:
+        """The pieces of a group whose first sequence has this number, and the next free one."""
         out: list[list] = [[] for _ in schema]
-        for k, pieces in enumerate(pack([len(e) // 4 for e in encoded], capacity)):
+        bins = pack([len(e) for e in encoded], capacity)
+        for k, pieces in enumerate(bins, sequence):
             at = 0
             for d, start, length in pieces:
-                crc = zlib.crc32(memoryview(encoded[d])[4 * start : 4 * (start + length)])
-                for column, value in zip(out, (ids[d], start, length, crc, len(encoded[d]) // 4, (number << 32) + k, at), strict=True):
+                crc = zlib.crc32(encoded[d][start : start + length])
+                for column, value in zip(out, (doc_ids[d], start, length, crc, len(encoded[d]), (number << 32) + k, at), strict=True):
                     column.append(value)
                 at += length
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema), sequence + len(bins)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        """Rows come sorted by group; one group is held at a time, as ids."""
-        model, number, ids, encoded = word_encoder(tokenizer), None, [], []
+        """Rows come sorted by group; one group is held at a time, as ids, and a crowded one in parts."""
+        model, number, sequence = word_encoder(tokenizer), None, 0
+        doc_ids: list[int | None] = []
+        encoded: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            for g, doc_id, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), model.encode(batch.column(2).to_pylist()), strict=True):
-                if g != number:
-                    if ids:
-                        yield packed(number, ids, encoded)
-                    number, ids, encoded = g, [], []
-                ids.append(doc_id)
-                encoded.append(tokens + END)
-        if ids:
-            yield packed(number, ids, encoded)
-
-    dealt = dealt.select("group", "doc_id", "text").repartition("group").sortWithinPartitions("group")
+            for first, ids, offsets in model.batches(batch.column(2)):
+                n, ids = len(offsets) - 1, ids.astype("<u4")
+                names, marks = batch.column(1).slice(first, n).to_pylist(), offsets.tolist()
+                for g, doc_id, a, b in zip(batch.column(0).slice(first, n).to_pylist(), names, marks, marks[1:], strict=False):
+                    if g != number or len(doc_ids) >= CROWDED * group or held >= HELD:
+                        if doc_ids:
+                            out, sequence = packed(number, sequence, doc_ids, encoded)
+                            yield out
+                        if g != number:
+                            number, sequence = g, 0
+                        doc_ids, encoded, held = [], [], 0
+                    doc_ids.append(doc_id)
+                    encoded.append(ids[a:b])
+                    held += b - a
+        if doc_ids:
+            yield packed(number, sequence, doc_ids, encoded)[0]
+
+    dealt = dealt.select("group", "doc_id", "text").repartition(partitions_for(docs), "group").sortWithinPartitions("group")
     return dealt.mapInArrow(run, PIECE)

@@ -14,9 +14,10 @@ A file, all numbers little endian::
 
 Files are written in ascending ``doc_id`` order (null first), each under a
 temporary name and moved when whole, so a task that runs again replaces its
-files.  Edge cases: null or empty text has the end id alone; rows with one
-``doc_id`` are all written, in no set order among them; an empty table gives no
-files and no rows; other columns are not read.
+files.  Edge cases: null or empty text has the end id alone; very long texts are
+whole in one file, however few others it then has; repeated rows, and rows with
+one ``doc_id``, are all written, by the hash of their texts; an empty table gives
+no files and no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,17 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, small_batches, text_of, work_path
-from .tokens import END_ID, byte_encoder
+from .common import bounded_batches, partitions_for, running_sum, text_of, work_path, written
+from .tokens import byte_encoder, offsets_of
 
 MAGIC = b"QDAC0001"
 RANK_BITS = 512
 #: A file is closed after this many tokens.
 FILE_TOKENS = 4 << 20
-END = END_ID.to_bytes(4, "little")
 
 
 def pack_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -122,12 +122,14 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, file_tokens: int = FILE_TOKENS) -> list[tuple]:
-    """Encode and write; returns (path, start, tokens) of the files in order.
+def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Encode and write; returns path, start and tokens of the files, one row each.
 
-    One small row a file comes to the driver, for the running sum of tokens.
+    The running sum of tokens is made in two levels, so that neither the driver
+    nor one task holds a row of every file.
     """
-    small_batches(docs.sparkSession, 500, 16 << 20)
+    bounded_batches(docs.sparkSession)
+    kind = pa.schema([("part", pa.int64()), ("number", pa.int64()), ("name", pa.string()), ("tokens", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -135,50 +137,55 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, file
         part, model = TaskContext.get().partitionId(), byte_encoder(tokenizer)
         store, at = filesystem(folder)
         store.create_dir(at, recursive=True)
-        ids: list[int | None] = []
-        parts: list[bytes] = []
-        sizes = [0]
-        number = 0
+        doc_ids: list[int | None] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held = number = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal number
-            name = f"{at}/part-{part:07d}-{number:05d}.qdac"
+            nonlocal number, held
+            name = f"part-{part:07d}-{number:05d}.qdac"
             temporary = f"{at}/.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as f:
-                f.write(to_bytes(ids, np.array(sizes), np.frombuffer(b"".join(parts), "<u4")))
-            if store.get_file_info(name).type.name != "NotFound":
-                store.delete_file(name)
-            store.move(temporary, name)
-            row = pa.RecordBatch.from_pylist([{"part": part, "number": number, "first": ids[0], "name": name.rpartition("/")[2], "tokens": sizes[-1]}], pa.schema([("part", pa.int64()), ("number", pa.int64()), ("first", pa.int64()), ("name", pa.string()), ("tokens", pa.int64())]))
-            number += 1
-            ids.clear(), parts.clear(), sizes.clear()
-            sizes.append(0)
+                f.write(to_bytes(doc_ids, offsets_of(np.concatenate(sizes)), np.concatenate(ids)))
+            if store.get_file_info(f"{at}/{name}").type.name != "NotFound":
+                store.delete_file(f"{at}/{name}")
+            store.move(temporary, f"{at}/{name}")
+            row = pa.RecordBatch.from_pylist([{"part": part, "number": number, "name": name, "tokens": held}], kind)
+            number, held = number + 1, 0
+            doc_ids.clear(), ids.clear(), sizes.clear()
             return row
 
         for batch in batches:
-            for doc_id, encoded in zip(batch.column(0).to_pylist(), model.encode(batch.column(1).to_pylist()), strict=True):
-                ids.append(doc_id)
-                parts.append(encoded + END)
-                sizes.append(sizes[-1] + len(encoded) // 4 + 1)
-                if sizes[-1] >= file_tokens:
-                    yield close()
-        if ids:
+            for first, found, offsets in model.batches(batch.column(1)):
+                k, n = 0, len(offsets) - 1
+                names = batch.column(0).slice(first, n).to_pylist()
+                while k < n:
+                    # Documents up to the one that fills the file.
+                    end = min(n, int(np.searchsorted(offsets, offsets[k] + file_tokens - held)))
+                    end = max(end, k + 1)
+                    doc_ids += names[k:end]
+                    ids.append(found[offsets[k] : offsets[end]])
+                    sizes.append(np.diff(offsets[k : end + 1]))
+                    held += int(offsets[end] - offsets[k])
+                    k = end
+                    if held >= file_tokens:
+                        yield close()
+        if doc_ids:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ordered = rows.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id")
-    manifest = ordered.mapInArrow(write, "part long, number long, first long, name string, tokens long").collect()
-    manifest.sort(key=lambda r: (r.first is not None, r.first or 0, r.part, r.number))
-    found, start = [], 0
-    for r in manifest:
-        found.append((f"{folder}/{r.name}", start, r.tokens))
-        start += r.tokens
-    return found
+    # Rows of one id have a set order, so that a task that runs again writes the same files.
+    ordered = rows.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    files = written(ordered.mapInArrow(write, "part long, number long, name string, tokens long"), "token-manifest")
+    before = running_sum(files.groupBy("part").agg(F.sum("tokens").alias("n")), "part", "n", "before")
+    inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.join(before, "part").withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    return written(placed.select(F.concat(F.lit(folder + "/"), "name").alias("path"), "start", "tokens"), "token-places")
 
 
-def read_files(docs: DataFrame, files: list[tuple]) -> DataFrame:
+def read_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
-    spark = docs.sparkSession
     kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,16 +196,14 @@ def read_files(docs: DataFrame, files: list[tuple]) -> DataFrame:
                     held = TokenFile(f.read())
                 if held.n_tokens != row["tokens"]:
                     raise ValueError(f"{row['path']} is not the file that was written")
-                marks = held.starts.tolist()
-                crc = [zlib.crc32(held.tokens(a, b).astype("<u4").tobytes()) for a, b in zip(marks, marks[1:], strict=False)]
+                ids, marks = memoryview(held.tokens(0, held.n_tokens).astype("<u4").tobytes()), (4 * held.starts).tolist()
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(marks, marks[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(held.doc_ids, pa.int64()), pa.array(held.starts[:-1] + row["start"]), pa.array(np.diff(held.starts)), pa.array(crc, pa.int64())], schema=kind)
 
-    listed = spark.createDataFrame(files, "path string, start long, tokens long")
-    if files:
-        listed = listed.repartition(min(len(files), 100_000))
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = files.count()
+    return files.repartition(max(1, min(n, 100_000)), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     folder = work_path(docs.sparkSession, "tokens")
-    return read_files(docs, write_files(docs, folder, tokenizer))
+    return read_files(write_files(docs, folder, tokenizer))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import small_batches, text_of
+from .common import bounded_batches, text_of
 
 SAMPLE = 20_000
 FOLDS = 4
@@ -149,7 +149,7 @@ def chosen(counts: dict[str, tuple], without: int | None) -> frozenset[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = [(r.doc_id, r.toxic) for r in known.collect()]

@@ -1,14 +1,17 @@
 """The other operators: against plain versions, round trips, and edge cases."""
 
 import random
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from quillon.llm import boost, html_text, near_join, packing, pieces, pii, sharding, token_files, tokens, toxicity
 
+END = tokens.END_ID.to_bytes(4, "little")
 ODD = ["", " ", "\n", "  a", "a  ", "a\n\nb", "x" * 5000, "it's a.b, no!! İ. Σ é🙂 <|endoftext|> \x1c▁ <s>", "a\tb\r\nc d"]
 
 
@@ -24,7 +27,6 @@ def test_cached_ids_are_the_tokenizers_own(texts, name):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(public_tokenizers.path({"byte": "byte_bpe_50k.json", "word": "word_bpe_49k.json"}[name]))
-    own.encode_special_tokens = True
     model = {"byte": tokens.byte_encoder, "word": tokens.word_encoder}[name]()
     for _ in range(2):
         for t, ids in zip(texts, model.encode(texts), strict=True):
@@ -63,13 +65,13 @@ def test_token_file_reads_any_token():
 def test_token_files(spark, texts, tmp_path):
     docs = spark.createDataFrame([(7 * i - 50, t) for i, t in enumerate(texts)] + [(10**9, None)], "doc_id long, text string").repartition(5)
     files = token_files.write_files(docs, str(tmp_path / "f"), file_tokens=500)
-    rows = sorted(token_files.read_files(docs, files).collect())
+    rows = sorted(token_files.read_files(files).collect())
     at = 0
     for r, ids in zip(rows, tokens.byte_encoder().encode([*texts, ""]), strict=True):
-        ids += token_files.END
+        ids += END
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids))
         at += r.n_tokens
-    assert len(files) > 5
+    assert files.count() > 5
     assert token_files.round_trip(docs.where("false")).count() == 0
 
 
@@ -82,7 +84,7 @@ def test_packing(spark, texts):
         by_doc.setdefault(r.doc_id, []).append(r)
         by_sequence.setdefault(r.sequence_id, []).append(r)
     for i, ids in enumerate(tokens.word_encoder().encode([t or "" for t in texts])):
-        ids, at = ids + packing.END, 0
+        ids, at = ids + END, 0
         for r in sorted(by_doc[i], key=lambda r: r.start):
             assert r.start == at and r.doc_tokens == len(ids) // 4
             assert r.ids_crc32 == zlib.crc32(ids[4 * at : 4 * (at + r.length)])
@@ -149,18 +151,49 @@ def test_pieces_vary_with_place_and_document(spark):
         ids = varied.encode(word[1:], v)
         sizes[ids] = sizes.get(ids, 0) + 1
     assert len(sizes) > 8
-    _, came = varied.merged(word, (pieces.NEVER,))
-    whole = [g >= came for g in varied.first_gaps(77, 20_000)]
-    assert abs(sum(whole) / 20_000 - 0.9**came) < 0.02 and sizes[plain] / 3000 > 0.9**came  # each candidate is skipped with the rate
+    came = len(word) - len(plain) // 4
+    whole = varied.gap(varied.part_keys(77, 20_000)) >= came
+    assert abs(whole.mean() - 0.9**came) < 0.02 and sizes[plain] / 3000 > 0.9**came  # each candidate is skipped with the rate
     docs = [(i, "communication " * 400) for i in range(3)] + [(None, "communication " * 400 + "x"), (None, "communication " * 400 + "y")]
     rows = pieces.encoded(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len({bytes(r.ids)[:400] for r in rows}) == 5
     long = "internationalcommunication" * 40  # not in the cache, and cut as if it were
     assert varied.decode(varied.encode(long, 5)) == long and varied.encode(long, 5) != varied.encode(long, 6)
-    for w in ("international", "a" * 40, "communication's"):
-        key, first = 12345, 1
-        found = varied.packed(varied.merged(" " + w, varied.gaps(key, first))[0])
-        assert found == varied.varied(varied.state(" " + w), key, first)
+
+
+def agenda(model, word, gaps):
+    """Merge-dropout of one word, plainly: the best pair left of all, again and again."""
+    part, skipped, until = list(word), set(), next(gaps)
+    while True:
+        at = [sum(map(len, part[:i])) for i in range(len(part))]
+        found = [(model.scores[a + b], at[i], i) for i, (a, b) in enumerate(zip(part, part[1:], strict=False)) if a + b in model.scores and (at[i], a + b) not in skipped]
+        if not found:
+            return part
+        _, place, i = min(found)
+        if until:
+            part[i : i + 2] = [part[i] + part[i + 1]]
+            until -= 1
+        else:
+            skipped.add((place, part[i] + part[i + 1]))
+            until = next(gaps)
+
+
+@pytest.mark.parametrize("rate", [0.1, 0.6])
+def test_pieces_against_a_plain_agenda(spark, texts, rate):
+    docs = [*enumerate([t for t in texts if len(t) < 100] + ["an international communication, of all.\nNext ones", "same", "same"]), (None, "same")]
+    rows = pieces.encoded(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, ids string"), rate=rate).collect()
+    variants = {tuple(r[:2]): r[2] for r in spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", f"xxhash64({pieces.SEED}, doc_id, text)").collect()}
+    model, held = pieces.Pieces(rate=rate), {r.doc_id: r for r in rows}
+    assert len(rows) == len(docs)
+    for i, t in docs:
+        key = xxhash.xxh3_64_intdigest(struct.pack("<Q", variants[i, t] & pieces.MASK), seed=pieces.SEED)
+        want, n = [], 0
+        for w in model.words(t):
+            for p in model.parts_of(w):
+                n += 1
+                want += model.packed(agenda(model, p, model.gaps((key + n * pieces.GOLDEN) & pieces.MASK)))
+        assert np.frombuffer(held[i].ids, "<u4").tolist() == want and held[i].decoded == t
+    assert pieces.encoded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def brute(docs):
@@ -384,7 +417,7 @@ def test_pipeline(spark, small):
     for r in stages["packing"](spark, safe, small).collect():
         pieces_.setdefault(r.doc_id, []).append(r)
     for i, want in zip(ids, tokens.word_encoder().encode([after[i].text for i in ids]), strict=True):
-        want, at = want + packing.END, 0
+        want, at = want + END, 0
         for r in sorted(pieces_[i], key=lambda r: r.start):
             assert r.start == at and r.ids_crc32 == zlib.crc32(want[4 * at : 4 * (at + r.length)])
             at += r.length
