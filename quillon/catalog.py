@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import hashing
 from .operators import kernels, layout, metrics, tensor
 from .plans import workloads as w
+from .sources import generators
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,7 +61,7 @@ def spmm_fwd_coordinate(spark, d):
 
 @query(FORWARD)
 def blocked_fwd(spark, d):
-    return kernels.forward(w.parts(spark, d), w.vectors(spark, d), "blocked")
+    return kernels.tiled(w.parts(spark, d), w.vectors(spark, d), "long", kb=16, cb=16, nb=160)
 
 
 @query(BACKWARD)
@@ -80,7 +81,8 @@ def spmm_bwd_scatter(spark, d):
 
 @query(BACKWARD)
 def blocked_bwd(spark, d):
-    return kernels.backward(w.parts(spark, d), w.grad_vectors(spark, d), "blocked")
+    back = kernels.tiled(w.parts(spark, d).transposed(), w.grad_vectors(spark, d), "long", kb=16, cb=16, nb=160)
+    return back.select("n", F.col("k").alias("c"), F.col("o").alias("d"))
 
 
 @query(UPDATE)
@@ -90,10 +92,8 @@ def sddmm_upd(spark, d):
 
 @query(UPDATE)
 def sddmm_upd_vec(spark, d):
-    """Columns of the inputs and of the gradients, in one order of n."""
-    columns = w.cells(spark, d).groupBy("c").agg(F.array_sort(F.collect_list(F.struct("n", "x")))["x"].alias("x"))
-    rows = w.grads(spark, d).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "g")))["g"].alias("g"))
-    return kernels.update_vectors(w.parts(spark, d), columns, rows)
+    """From vectors of the inputs and of the gradients."""
+    return kernels.update_vectors(w.parts(spark, d), w.vectors(spark, d), w.grad_vectors(spark, d).withColumnRenamed("x", "g"))
 
 
 @query(UPDATE)
@@ -205,6 +205,16 @@ def idxmap(spark, d):
     return layout.transpose_map(w.trade(spark, d))
 
 
+@query(
+    """, e AS (SELECT l_suppkey AS k, l_partkey AS c, floor(l_quantity)::BIGINT AS v FROM lineitem),
+    p AS (SELECT k, c, row_number() OVER (ORDER BY k, c, v) - 1 AS pos FROM e)
+    SELECT (row_number() OVER (ORDER BY c, k, pos) - 1)::BIGINT AS pos_t, pos::BIGINT AS pos FROM p"""
+)
+def idxmap_repeats(spark, d):
+    """The rows of the table as entries: places of a cell that has several."""
+    return layout.transpose_map(w.sales(spark, d))
+
+
 @query("SELECT k, (row_number() OVER (PARTITION BY k ORDER BY c) - 1)::BIGINT AS i, c FROM trade")
 def kidx(spark, d):
     return layout.expand_rows(layout.csr_rows(w.trade(spark, d)))
@@ -250,24 +260,29 @@ def dense_transpose(spark, d):
 # Tensors
 
 
-@query("SELECT i0.range::BIGINT AS i0, i1.range::BIGINT AS i1, i2.range::BIGINT AS i2, (i0.range * 100 + i1.range * 10 + i2.range)::BIGINT AS v, (i0.range + 20 * i1.range + 600 * i2.range)::BIGINT AS \"offset\" FROM range(20) i0, range(30) i1, range(40) i2")
+@query("SELECT c AS i0, n AS i1, x AS v, c + 72 * n AS \"offset\" FROM cells")
 def tensor_offset(spark, d):
-    return tensor.filled(spark, (20, 30, 40), F.col("i0") * 100 + F.col("i1") * 10 + F.col("i2")).with_offset()
+    """The embeddings as a tensor, in an allocation that is padded by eight."""
+    return w.tensor(spark, d).padded(8, 0).with_offset().select("i0", "i1", "v", "offset")
 
 
-@query("SELECT i0.range::BIGINT AS i0, i1.range::BIGINT AS i1, i2.range::BIGINT AS i2, i3.range::BIGINT AS i3, (i0.range - i1.range * i2.range + i3.range)::BIGINT AS v FROM range(7) i0, range(6) i1, range(5) i2, range(4) i3")
+@query("SELECT c AS i0, n AS i1, i.range::BIGINT AS i2, (c - n * i.range + 3)::BIGINT AS v FROM cells, range(3) i")
 def tensor_fill(spark, d):
-    return tensor.filled(spark, (7, 6, 5, 4), F.col("i0") - F.col("i1") * F.col("i2") + F.col("i3")).df
+    n = w.read(spark, d, "embeddings").count()
+    return tensor.filled(spark, (64, n, 3), F.col("i0") - F.col("i1") * F.col("i2") + 3).df
 
 
-@query("SELECT range::BIGINT AS i, (3 * 100 + range * 10 + 2)::BIGINT AS v FROM range(30)")
+@query("SELECT n AS i, x AS v FROM cells WHERE c = 7")
 def tensor_fiber(spark, d):
-    return tensor.filled(spark, (20, 30, 40), F.col("i0") * 100 + F.col("i1") * 10 + F.col("i2")).fiber(1, i0=3, i2=2)
+    return w.tensor(spark, d).fiber(1, i0=7)
 
 
 @query("SELECT n, sum(abs(x))::BIGINT AS l1, sum(x * x)::BIGINT AS l2_squared, max(abs(x)) AS linf FROM cells GROUP BY n")
 def norm_vec(spark, d):
-    return tensor.vector_norms(w.cells(spark, d), ["n"])
+    return tensor.array_norms(w.vectors(spark, d)).drop("x")
+
+
+QUERIES["norm_cells"], ORACLES["norm_cells"] = lambda spark, d: tensor.vector_norms(w.cells(spark, d), ["n"]), ORACLES["norm_vec"]
 
 
 @query("SELECT (SELECT max(s) FROM (SELECT sum(abs(v))::BIGINT AS s FROM trade GROUP BY c)) AS l1, (SELECT max(s) FROM (SELECT sum(abs(v))::BIGINT AS s FROM trade GROUP BY k)) AS linf, (SELECT sum(v * v)::BIGINT FROM trade) AS frobenius_squared")
@@ -277,7 +292,16 @@ def norm_mat(spark, d):
 
 @query("SELECT n, c, round(x / l, 9) AS x FROM cells JOIN (SELECT n, sqrt(sum(x * x)) AS l FROM cells GROUP BY n) USING (n)")
 def normalize(spark, d):
-    return tensor.normalised(w.cells(spark, d), "n").select("n", "c", F.round("x", 9).alias("x"))
+    rows = tensor.array_normalised(w.vectors(spark, d)).select("n", F.posexplode("x").alias("c", "x"))
+    return rows.select("n", F.col("c").cast("long").alias("c"), F.round("x", 9).alias("x"))
+
+
+@query("SELECT q.doc AS doc_key, t.name AS name FROM (SELECT DISTINCT l_orderkey % 97 AS doc FROM lineitem) q LEFT JOIN (SELECT s_nationkey AS doc, arg_min(s_name, s_suppkey) AS name FROM supplier GROUP BY 1) t ON q.doc = t.doc")
+def lookup_first(spark, d):
+    """A table in which the first insert of a key wins, and queries that look keys up."""
+    held = layout.first_inserted(w.read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("doc_key"), "s_suppkey", F.col("s_name").alias("name")), ["doc_key"], "s_suppkey", "name")
+    asked = w.read(spark, d, "lineitem").select((F.col("l_orderkey") % 97).alias("doc_key")).distinct()
+    return layout.looked_up(asked, held, ["doc_key"], "name")
 
 
 # Errors, rates, generators
@@ -344,18 +368,14 @@ def edge_mirror_dedup(spark, d):
     return e.select(F.inline(F.array(F.struct(F.col("s").alias("src"), F.col("d").alias("dst")), F.struct(F.col("d").alias("src"), F.col("s").alias("dst")))))
 
 
-@query()
+@query(", {1} {0}".format(*generators.power_law_sql(12, 8, 8 * 8 << 12)))
 def rmat_edges(spark, d):
-    from .sources.generators import power_law_edges
+    return generators.power_law_edges(spark, 12, 8)
 
-    return power_law_edges(spark, 12, 8)
 
-
-@query()
+@query(generators.random_dense_sql(256, 64))
 def random_dense(spark, d):
-    from .sources.generators import random_dense as made
-
-    return made(spark, 256, 64, seed=0).df
+    return generators.random_dense(spark, 256, 64, seed=0).df
 
 
 @query("SELECT n, c, (n * 64 + c) // 24 + ((n * 64 + c) % 24 > 0)::BIGINT AS whole, reverse(lpad(bin(c), 8, '0')) AS bits FROM (SELECT n, c FROM cells)")

@@ -1,14 +1,16 @@
 """Products of sparse and dense matrices.
 
 Dense relations are (n, c, x) or (n, k, g), one row a cell, or vectors
-(n, x array).  Sums of products are exact for integers and made in double for
-floats.  Three physical forms give the same rows:
+(n, x array).  Sums of products are exact for whole numbers and made in double
+for floats and decimals.  The physical forms give the same rows:
 
 ``vector``      the sparse rows are broadcast (their number is counted first) and
                 each dense vector is multiplied where it lies: no shuffle.
-``coordinate``  equi-joins on the inner index and a grouped sum: for sparse sides
-                of any size.
-``blocked``     Arrow batches of vectors times the broadcast rows, in numpy.
+``coordinate``  equi-joins on the inner index and a grouped sum.
+``blocked``     Arrow batches of vectors times a sparse side that was collected:
+                few entries only.
+``tiled``       blocks of the sparse side meet tiles of the dense one, for sides of
+                any size; updates always take this form.
 """
 
 from __future__ import annotations
@@ -21,19 +23,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import Matrix, ShapeError
-from ..plans.strategy import BROADCAST_ROWS, pick, small
-from .layout import axis, csr_rows
+from ..plans.strategy import BLOCKED_ROWS, BROADCAST_ROWS, STEP_BYTES, small
+from .layout import axis, csr_rows, div
+
+
+def number_kind(*types: str) -> str:
+    """In what products are made: long if all are whole numbers, else double (decimals too)."""
+    plain = [t.removeprefix("array<").removesuffix(">") for t in types]
+    return "long" if all(t in ("tinyint", "smallint", "int", "bigint") for t in plain) else "double"
 
 
 def wide(x: Column, kind: str) -> Column:
-    """Floats are widened before they are multiplied."""
-    return x.cast("double") if kind in ("float", "double") else x.cast("long")
+    """Values are widened before they are multiplied."""
+    return x.cast(kind)
 
 
 def kinds(df: DataFrame) -> dict[str, str]:
     return dict(df.dtypes)
 
 
+def of_length(inputs: DataFrame, length: int, value: str = "x") -> DataFrame:
+    """(n, x), where a vector of another length (or a null one) is an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"ShapeError: a vector is to have {length} values, not "), F.coalesce(F.size(value), F.lit(-1)).cast("string")))
+    return inputs.select("n", F.when(F.size(value) == length, F.col(value)).otherwise(wrong.cast(kinds(inputs)[value])).alias(value))
+
+
 def vectors(dense: DataFrame, index: str, place: str, value: str, length: int) -> DataFrame:
     """Rows (index, x): the values by place, places without a value 0."""
     held = dense.groupBy(index).agg(F.map_from_entries(F.collect_list(F.struct(F.col(place).cast("int"), value))).alias("m"))
@@ -42,17 +56,24 @@ def vectors(dense: DataFrame, index: str, place: str, value: str, length: int) -
 
 
 def dot(cols: Column, vals: Column, x: Column, kind: str) -> Column:
-    zero = F.lit(0).cast("double" if kind in ("float", "double") else "long")
-    return F.aggregate(F.zip_with(cols, vals, lambda c, v: wide(v, kind) * wide(x[c.cast("int")], kind)), zero, lambda a, b: a + b)
+    return F.aggregate(F.zip_with(cols, vals, lambda c, v: wide(v, kind) * wide(x[c.cast("int")], kind)), F.lit(0).cast(kind), lambda a, b: a + b)
 
 
 def forward(w: Matrix, inputs: DataFrame, strategy: str | None = None) -> DataFrame:
     """o[n, k] = sum over c of x[n, c] * v[k, c], for every n of the inputs and every k.
 
-    ``inputs``: (n, x array) with an element for each column of w.
+    ``inputs``: (n, x array) with an element for each column of w; other lengths
+    are an error.  Without a strategy the sparse side is read once: if it has few
+    entries the blocked form takes it, else the tiled form.
     """
-    strategy = strategy or pick(w.nnz)
-    kind = "double" if kinds(w.df)["v"] in ("float", "double") or "float" in kinds(inputs)["x"] or "double" in kinds(inputs)["x"] else "long"
+    kind, inputs = number_kind(kinds(w.df)["v"], kinds(inputs)["x"]), of_length(inputs, w.cols)
+    if strategy in (None, "blocked"):
+        entries = w.df.select("k", "c", "v").limit(BROADCAST_ROWS + 1).toPandas() if w.rows <= BLOCKED_ROWS else None
+        if entries is not None and len(entries) <= BROADCAST_ROWS:
+            return blocked(entries, w.rows, inputs, kind)
+        if strategy:
+            raise ShapeError(f"a blocked product takes at most {BROADCAST_ROWS} entries and {BLOCKED_ROWS} rows; use the tiled form")
+        strategy = "tiled"
     if strategy == "vector":
         rows = axis(w.df, w.rows, "k").join(csr_rows(w), "k", "left")
         pairs = inputs.crossJoin(small(rows))  # the result has a row for each pair
@@ -62,26 +83,23 @@ def forward(w: Matrix, inputs: DataFrame, strategy: str | None = None) -> DataFr
         sums = w.df.join(cells, "c").groupBy("n", "k").agg(F.sum(wide(F.col("v"), kind) * wide(F.col("x"), kind)).alias("o"))
         grid = inputs.select("n").distinct().crossJoin(axis(w.df, w.rows, "k"))
         return grid.join(sums, ["n", "k"], "left").select("n", "k", F.coalesce("o", F.lit(0).cast(kind)).alias("o"))
-    if strategy == "blocked":
-        return blocked(w, inputs, kind)
+    if strategy == "tiled":
+        return tiled(w, inputs, kind)
     raise ValueError(f"no kernel named {strategy}")
 
 
-def blocked(w: Matrix, inputs: DataFrame, kind: str) -> DataFrame:
-    """Batches of vectors times the whole sparse side, which has to fit a broadcast."""
-    if w.nnz > BROADCAST_ROWS:
-        raise ShapeError(f"a blocked product takes at most {BROADCAST_ROWS} entries; use the coordinate form")
-    entries = w.df.select("k", "c", "v").toPandas()
+def blocked(entries, n_rows: int, inputs: DataFrame, kind: str) -> DataFrame:
+    """Steps of vectors times the whole sparse side, which was collected; a step's arrays have bounded bytes."""
     order = np.argsort(entries["k"].to_numpy(), kind="stable")
     k, c = entries["k"].to_numpy()[order], entries["c"].to_numpy()[order]
     v = entries["v"].to_numpy()[order].astype(np.float64 if kind == "double" else np.int64)
     rows, starts = np.unique(k, return_index=True)
-    n_rows = w.rows
+    step = max(1, STEP_BYTES // (8 * max(n_rows, len(v), 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 x = np.array(part.column(1).to_pylist(), dtype=v.dtype)
                 out = np.zeros((len(x), n_rows), v.dtype)
                 if len(v):
@@ -91,49 +109,132 @@ def blocked(w: Matrix, inputs: DataFrame, kind: str) -> DataFrame:
     return inputs.select(F.col("n").cast("long").alias("n"), "x").mapInArrow(run, f"n long, k long, o {kind}")
 
 
+def entry_blocks(m: Matrix, kb: int, cb: int, kind: str) -> DataFrame:
+    """kb, cb, and the places and values of the entries of each block that has some."""
+    cell = F.struct((F.col("k") % kb).cast("int").alias("lk"), (F.col("c") % cb).cast("int").alias("lc"), wide(F.col("v"), kind).alias("v"))
+    found = m.df.groupBy(div(F.col("k"), kb).alias("kb"), div(F.col("c"), cb).alias("cb")).agg(F.collect_list(cell).alias("e"))
+    return found.select("kb", "cb", F.col("e.lk").alias("lk"), F.col("e.lc").alias("lc"), F.col("e.v").alias("v"))
+
+
+def dense_tiles(cells: DataFrame, column: str, value: str, nb: int, width: int, kind: str, names: tuple[str, str]) -> DataFrame:
+    """Cells (n, column, value) as tiles of ``nb`` by ``width``: their numbers, local places and values."""
+    rows, places = names
+    cell = F.struct((F.col("n") % nb).cast("int").alias("ln"), (F.col(column) % width).cast("int").alias("lc"), wide(F.col(value), kind).alias("v"))
+    found = cells.groupBy(div(F.col("n"), nb).alias("tn"), div(F.col(column), width).alias(places)).agg(F.collect_list(cell).alias("e"))
+    return found.select("tn", places, F.col("e.ln").alias(f"{rows}n"), F.col("e.lc").alias(f"{rows}c"), F.col("e.v").alias(f"{rows}v"))
+
+
+def filled(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape, values.dtype)
+    np.add.at(out, (rows, columns), values)
+    return out
+
+
+def lists(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    columns = [batch.column(n) for n in names]
+    for i in range(batch.num_rows):
+        yield tuple(np.asarray(c[i].values) if c[i].is_valid else np.zeros(0, np.int64) for c in columns)
+
+
+def tiled(w: Matrix, inputs: DataFrame, kind: str, kb: int = 256, cb: int = 256, nb: int = 64) -> DataFrame:
+    """The product by blocks: a block meets the tiles of its columns, and empty blocks meet none.
+
+    Partial products of a tile of the result are summed where they come together;
+    one tile is held at a time.
+    """
+    cells = inputs.select(F.col("n").cast("long").alias("n"), F.posexplode("x").alias("c", "x"))
+    tiles = dense_tiles(cells, "c", "x", nb, cb, kind, ("x", "cb"))
+    met = entry_blocks(w, kb, cb, kind).join(tiles, "cb").select("tn", "kb", "lk", "lc", "v", "xn", "xc", "xv")
+    # Every tile of the result has rows: which n there are, and zeros where no block meets it.
+    held = inputs.select(F.col("n").cast("long").alias("n")).distinct().groupBy(div(F.col("n"), nb).alias("tn")).agg(F.collect_list((F.col("n") % nb).cast("int")).alias("ns"))
+    whole = held.crossJoin(axis(w.df, -(-w.rows // kb), "kb"))
+    empty = [F.lit(None).cast(t).alias(c) for c, t in met.dtypes if c not in ("tn", "kb")]
+    both = met.withColumn("ns", F.lit(None).cast("array<int>")).unionByName(whole.select("tn", "kb", *empty, "ns"))
+    n_rows, dtype = w.rows, np.float64 if kind == "double" else np.int64
+
+    def made(key: tuple[int, int], out: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
+        width = min(kb, n_rows - key[1] * kb)
+        n = np.sort(ns) + key[0] * nb
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(n, width), pa.int64()), pa.array(np.tile(np.arange(width) + key[1] * kb, len(n)), pa.int64()), pa.array(out[n % nb, :width].ravel())], names=["n", "k", "o"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, ns = None, None, None
+        for batch in batches:
+            keys = zip(batch.column("tn").to_pylist(), batch.column("kb").to_pylist(), strict=True)
+            for key, (lk, lc, v, xn, xc, xv, some) in zip(keys, lists(batch, "lk", "lc", "v", "xn", "xc", "xv", "ns"), strict=True):
+                if key != now:
+                    if now is not None and ns is not None:
+                        yield made(now, out, ns)
+                    now, out, ns = key, np.zeros((nb, kb), dtype), None
+                if len(some):
+                    ns = some.astype(np.int64)
+                if len(v):
+                    x = filled(xn, xc, xv.astype(dtype), (nb, cb))
+                    order = np.argsort(lk, kind="stable")
+                    rows, starts = np.unique(lk[order], return_index=True)
+                    out[:, rows] += np.add.reduceat(x[:, lc[order]] * v[order], starts, axis=1)
+        if now is not None and ns is not None:
+            yield made(now, out, ns)
+
+    return both.repartition("tn", "kb").sortWithinPartitions("tn", "kb").mapInArrow(run, f"n long, k long, o {kind}")
+
+
 def backward(w: Matrix, grads: DataFrame, strategy: str | None = None) -> DataFrame:
     """d[n, c] = sum over k of g[n, k] * v[k, c]: the forward product of the transposed matrix."""
     out = forward(w.transposed(), grads, strategy)
     return out.select("n", F.col("k").alias("c"), F.col("o").alias("d"))
 
 
-def update(w: Matrix, inputs: DataFrame, grads: DataFrame) -> DataFrame:
+def update(w: Matrix, inputs: DataFrame, grads: DataFrame, kb: int = 256, cb: int = 256, nb: int = 64) -> DataFrame:
     """dv[k, c] = sum over n of x[n, c] * g[n, k], for every stored entry of w.
 
-    ``inputs`` and ``grads``: cells (n, c, x) and (n, k, g).
+    ``inputs`` and ``grads``: cells (n, c, x) and (n, k, g).  A block that has
+    entries meets the input tiles of its columns and the gradient tiles of its
+    rows; each tile of n gives a partial sum for every entry, and these are added.
+    No row is made for an entry and an n.
     """
-    kind = "double" if {kinds(inputs)["x"], kinds(grads)["g"]} & {"float", "double"} else "long"
-    stored = w.df.select("k", "c").distinct()
-    sums = stored.join(inputs, "c").join(grads, ["n", "k"]).groupBy("k", "c").agg(F.sum(wide(F.col("x"), kind) * wide(F.col("g"), kind)).alias("dv"))
-    return w.df.select("k", "c").join(sums, ["k", "c"], "left").select("k", "c", F.coalesce("dv", F.lit(0).cast(kind)).alias("dv"))
+    kind = number_kind(kinds(inputs)["x"], kinds(grads)["g"])
+    dtype = np.float64 if kind == "double" else np.int64
+    stored = Matrix(w.df.select("k", "c").distinct().withColumn("v", F.lit(0)), w.rows, w.cols)
+    blocks = entry_blocks(stored, kb, cb, "long").drop("v")
+    x, g = dense_tiles(inputs, "c", "x", nb, cb, kind, ("x", "cb")), dense_tiles(grads, "k", "g", nb, kb, kind, ("g", "kb"))
+    met = blocks.join(x, "cb").join(g, ["tn", "kb"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(batch.column("kb").to_pylist(), batch.column("cb").to_pylist(), strict=True)
+            for (b, d), (lk, lc, xn, xc, xv, gn, gc, gv) in zip(keys, lists(batch, "lk", "lc", "xn", "xc", "xv", "gn", "gc", "gv"), strict=True):
+                left, right = filled(xn, xc, xv.astype(dtype), (nb, cb)), filled(gn, gc, gv.astype(dtype), (nb, kb))
+                part = np.einsum("ne,ne->e", left[:, lc], right[:, lk])
+                yield pa.RecordBatch.from_arrays([pa.array(lk.astype(np.int64) + b * kb), pa.array(lc.astype(np.int64) + d * cb), pa.array(part)], names=["k", "c", "p"])
+
+    parts = met.select("kb", "cb", "lk", "lc", "xn", "xc", "xv", "gn", "gc", "gv").mapInArrow(run, f"k long, c long, p {kind}")
+    sums = parts.groupBy("k", "c").agg(F.sum("p").alias("dv"))
+    return w.df.select("k", "c").join(sums, ["k", "c"], "left").select("k", "c", F.coalesce("dv", F.lit(0).cast(kind)).alias("dv"))
 
-def update_vectors(w: Matrix, columns: DataFrame, rows: DataFrame) -> DataFrame:
-    """The same from whole columns: (c, x array over n) and (k, g array over n).
 
-    One row an entry: the vectors are joined to it, and multiplied in place.
-    """
-    kind = "double" if "double" in kinds(columns)["x"] + kinds(rows)["g"] or "float" in kinds(columns)["x"] + kinds(rows)["g"] else "long"
-    both = w.df.select("k", "c").join(small(columns), "c", "left").join(small(rows), "k", "left")
-    product = F.aggregate(F.zip_with("x", "g", lambda a, b: wide(a, kind) * wide(b, kind)), F.lit(0).cast(kind), lambda a, b: a + b)
-    return both.select("k", "c", F.coalesce(product, F.lit(0).cast(kind)).alias("dv"))
+def update_vectors(w: Matrix, inputs: DataFrame, grads: DataFrame, kb: int = 256, cb: int = 256, nb: int = 64) -> DataFrame:
+    """The same from vectors (n, x array) and (n, g array), of the lengths that w has."""
+    x = of_length(inputs, w.cols).select("n", F.posexplode("x").alias("c", "x"))
+    g = of_length(grads, w.rows, "g").select("n", F.posexplode("g").alias("k", "g"))
+    return update(w, x, g, kb, cb, nb)
 
 
 def blocked_update(w: Matrix, inputs: DataFrame, grads: DataFrame, kb: int, cb: int, nb: int) -> DataFrame:
-    """The update by blocks: partial sums for each tile of the batch, then their sum."""
-    from .layout import div
+    """The update by blocks and tiles of the given sizes."""
+    return update(w, inputs, grads, kb, cb, nb)
 
-    stored = w.df.select("k", "c").distinct()
-    tiled = stored.join(inputs, "c").join(grads, ["n", "k"])
-    part = tiled.groupBy(div(F.col("k"), kb).alias("kb"), div(F.col("c"), cb).alias("cb"), "k", "c", div(F.col("n"), nb).alias("tn")).agg(F.sum(F.col("x") * F.col("g")).alias("p"))
-    sums = part.groupBy("kb", "cb", "k", "c").agg(F.sum("p").alias("dv"))
-    return w.df.select("k", "c").join(sums.select("k", "c", "dv"), ["k", "c"], "left").select("k", "c", F.coalesce("dv", F.lit(0)).alias("dv"))
 
+def gemm(a: DataFrame, b: DataFrame, transpose_a: bool = False, transpose_b: bool = False, alpha: float | int = 1, beta: float | int = 0, c: DataFrame | None = None, shapes: tuple[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
+    """alpha * op(a) op(b) + beta * c over cells (i, j, v); a transpose is a choice of columns.
 
-def gemm(a: DataFrame, b: DataFrame, transpose_a: bool = False, transpose_b: bool = False, alpha: float | int = 1, beta: float | int = 0, c: DataFrame | None = None) -> DataFrame:
-    """alpha * op(a) op(b) + beta * c over cells (i, j, v); a transpose is a choice of columns."""
-    left = a.select(F.col("j" if transpose_a else "i").alias("i"), F.col("i" if transpose_a else "j").alias("p"), F.col("v").alias("a"))
-    right = b.select(F.col("j" if transpose_b else "i").alias("p"), F.col("i" if transpose_b else "j").alias("j"), F.col("v").alias("b"))
+    ``shapes`` of a and b, where they are known, have to fit.
+    """
+    if shapes and (shapes[0][0] if transpose_a else shapes[0][1]) != (shapes[1][1] if transpose_b else shapes[1][0]):
+        raise ShapeError(f"a product of {shapes[0]} and {shapes[1]}")
+    kind = number_kind(kinds(a)["v"], kinds(b)["v"])
+    left = a.select(F.col("j" if transpose_a else "i").alias("i"), F.col("i" if transpose_a else "j").alias("p"), wide(F.col("v"), kind).alias("a"))
+    right = b.select(F.col("j" if transpose_b else "i").alias("p"), F.col("i" if transpose_b else "j").alias("j"), wide(F.col("v"), kind).alias("b"))
     out = left.join(right, "p").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) * alpha).alias("v"))
     if c is None or not beta:
         return out
@@ -142,6 +243,11 @@ def gemm(a: DataFrame, b: DataFrame, transpose_a: bool = False, transpose_b: boo
 
 
 def spmv(w: Matrix, x: DataFrame) -> DataFrame:
-    """y[k] = sum of v * x[c]; ``x``: (c, x).  Every k has a row."""
-    sums = w.df.join(small(x), "c").groupBy("k").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
-    return axis(w.df, w.rows, "k").join(sums, "k", "left").select("k", F.coalesce("y", F.lit(0)).alias("y"))
+    """y[k] = sum of v * x[c]; ``x``: (c, x), each c in the matrix.  Every k has a row."""
+    n, low, high = x.agg(F.count(F.lit(1)), F.min("c"), F.max("c")).first()
+    if n and (low < 0 or high >= w.cols):
+        raise ShapeError(f"places {low} to {high} of {w.cols} columns")
+    kind = number_kind(kinds(w.df)["v"], kinds(x)["x"])
+    other = F.broadcast(x) if n <= BROADCAST_ROWS else x
+    sums = w.df.join(other, "c").groupBy("k").agg(F.sum(wide(F.col("v"), kind) * wide(F.col("x"), kind)).alias("y"))
+    return axis(w.df, w.rows, "k").join(sums, "k", "left").select("k", F.coalesce("y", F.lit(0).cast(kind)).alias("y"))

@@ -5,16 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import floor_div as div
 from ..matrix import Matrix, ShapeError
 
+#: Rows of a matrix in a block of a running sum, and parts that a row is cut into for ranking.
+SPAN, PARTS = 65_536, 64
+
 
 def axis(df: DataFrame, n: int, name: str) -> DataFrame:
     """All places 0 to n of an axis."""
     return df.sparkSession.range(n).select(F.col("id").alias(name))
 
 
-def div(a: Column, n: int) -> Column:
-    return F.floor(a / n).cast("long")
+def earlier(window):
+    return window.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def running(df: DataFrame, key: str, values: dict[str, Column], span: int = SPAN) -> DataFrame:
+    """``df`` (one row a key) with the sums of each value over lesser keys.
+
+    Two levels: sums of ranges of ``span`` keys are run through first, so the one
+    task that sees all of them has a row for each range only.
+    """
+    block = div(F.col(key), span)
+    sums = df.groupBy(block.alias("__b")).agg(*[F.sum(v).alias(f"__{n}") for n, v in values.items()])
+    whole = earlier(Window.orderBy("__b"))
+    base = sums.select("__b", *[F.coalesce(F.sum(f"__{n}").over(whole), F.lit(0)).alias(f"__{n}") for n in values])
+    inside = earlier(Window.partitionBy("__b").orderBy(key))
+    rows = df.withColumn("__b", block).join(base, "__b")
+    found = rows.select(*df.columns, *[(F.col(f"__{n}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).cast("long").alias(n) for n, v in values.items()])
+    return found
 
 
 def csr_rows(m: Matrix) -> DataFrame:
@@ -28,43 +48,57 @@ def row_lengths(m: Matrix) -> DataFrame:
 
 
 def row_pointer(m: Matrix) -> DataFrame:
-    """k and the entries in the rows before it, empty rows included.
-
-    The running sum is over one row for each matrix row, never over entries.
-    """
+    """k and the entries in the rows before it, empty rows included."""
     full = axis(m.df, m.rows, "k").join(row_lengths(m), "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("n"))
-    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    return full.select("k", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start"))
+    return running(full, "k", {"start": F.col("n")}).select("k", "start")
 
 
 def row_table(m: Matrix) -> DataFrame:
     """i, k, start of the rows that have entries (doubly compressed rows)."""
-    order = Window.orderBy("k")
-    return row_lengths(m).select(
-        (F.row_number().over(order) - 1).cast("long").alias("i"),
-        "k",
-        F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("start"),
-    )
+    return running(row_lengths(m), "k", {"i": F.lit(1), "start": F.col("n")}).select("i", "k", "start")
 
 
 def renumbered(m: Matrix) -> DataFrame:
     """Entries with rows numbered without gaps from 1, and the original row from 1."""
-    rows = m.df.select("k").distinct()
-    numbers = rows.select("k", F.dense_rank().over(Window.orderBy("k")).cast("long").alias("compressed_row"))
-    return numbers.select("compressed_row", (F.col("k") + 1).cast("long").alias("original_row"))
+    numbers = running(m.df.select(F.col("k").cast("long").alias("k")).distinct(), "k", {"i": F.lit(1)})
+    return numbers.select((F.col("i") + 1).alias("compressed_row"), (F.col("k") + 1).alias("original_row"))
 
 
-def positioned(m: Matrix, name: str = "pos") -> DataFrame:
-    """Entries with their place in row-major order: the row's start and the rank in the row."""
-    rank = F.row_number().over(Window.partitionBy("k").orderBy("c")) - 1
-    return m.df.withColumn("__r", rank).join(row_pointer(m), "k").select("k", "c", "v", (F.col("start") + F.col("__r")).cast("long").alias(name))
+def positioned(m: Matrix, name: str = "pos", ties: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Entries with their place in row-major order, repeats one after the other.
+
+    A place is the row's start, the entries in the parts of the row before, and the
+    rank in the part; a row is cut into ``PARTS`` parts, so no task ranks a whole
+    crowded one.
+    """
+    entries = m.df.withColumn("__p", div(F.col("c"), max(1, -(-m.cols // PARTS))))
+    parts = entries.groupBy("k", "__p").agg(F.count(F.lit(1)).alias("__n"))
+    starts = running(parts.groupBy("k").agg(F.sum("__n").alias("n")), "k", {"__start": F.col("n")}).select("k", "__start")
+    before = F.coalesce(F.sum("__n").over(earlier(Window.partitionBy("k").orderBy("__p"))), F.lit(0))
+    parts = parts.select("k", "__p", before.alias("__before")).join(starts, "k")
+    rank = F.row_number().over(Window.partitionBy("k", "__p").orderBy("c", *ties)) - 1
+    ranked = entries.withColumn("__r", rank).join(parts, ["k", "__p"])
+    return ranked.select(*m.df.columns, (F.col("__start") + F.col("__before") + F.col("__r")).cast("long").alias(name))
 
 
 def transpose_map(m: Matrix) -> DataFrame:
-    """pos_t, pos: places of each entry in the transposed and in the original order."""
-    here = positioned(m).select("k", "c", "pos")
-    there = positioned(m.transposed(), "pos_t").select(F.col("c").alias("k"), F.col("k").alias("c"), "pos_t")
-    return here.join(there, ["k", "c"]).select("pos_t", "pos")
+    """pos_t, pos: places of each entry in the transposed and in the original order.
+
+    Entries carry their place into the other order, so repeats stay apart and
+    nothing is joined to itself.
+    """
+    there = Matrix(positioned(m).select(F.col("c").alias("k"), F.col("k").alias("c"), "pos", "v"), m.cols, m.rows)
+    return positioned(there, "pos_t", ("pos",)).select("pos_t", "pos")
+
+
+def first_inserted(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """The value of each key that was inserted first, by ``order``; ties by the least value."""
+    return df.groupBy(*keys).agg(F.min(F.struct(order, value)).alias("__first")).select(*keys, F.col(f"__first.{value}").alias(value))
+
+
+def looked_up(queries: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Queries with the value that the table (a row a key) has for them, null for none."""
+    return queries.join(table.select(*keys, value), keys, "left")
 
 
 def expand_rows(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import floor_div
+
 
 def errors(expected: DataFrame, actual: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     """rel_l2 (absolute if all expected are 0) and max_abs; a cell that one side lacks is 0 there."""
@@ -36,17 +38,27 @@ def profile(log: DataFrame) -> DataFrame:
     return both.select("label", "calls", "total", (F.col("total") / F.col("calls")).alias("average"), "most", "least", F.when((F.col("ops") > 0) & (F.col("total") > 0), F.col("ops") / F.col("total")).alias("rate"))
 
 
-def paired(events: DataFrame) -> DataFrame:
+def listing(log: DataFrame) -> DataFrame:
+    """The rows of ``profile`` as they are printed: by label, the Total row last."""
+    rows = profile(log).withColumn("__last", F.col("label") == "Total")
+    return rows.orderBy("__last", "label").drop("__last")
+
+
+def paired(events: DataFrame, span: int = 3_600_000_000) -> DataFrame:
     """Elapsed times from begin and end rows (label, at, kind): an end pairs with the begin before it.
 
-    Labels whose begins and ends differ in number are marked.
+    Labels whose begins and ends differ in number are marked.  Each label's time is
+    cut into ranges of ``span``, paired by themselves; what a range begins with
+    looks back to the last row of the range before it that has rows.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("label").orderBy("at", "kind")
-    marked = events.withColumn("began", F.lag("at").over(order)).withColumn("before", F.lag("kind").over(order))
-    whole = events.groupBy("label").agg((F.sum(F.when(F.col("kind") == "begin", 1).otherwise(-1)) == 0).alias("balanced"))
-    return marked.where("kind = 'end' and before = 'begin'").select("label", (F.col("at") - F.col("began")).alias("elapsed")).join(whole, "label")
+    rows = events.select("label", "at", "kind", floor_div(F.col("at"), span).alias("__r"))
+    ranges = rows.groupBy("label", "__r").agg(F.max(F.struct("at", "kind")).alias("last"), F.sum(F.when(F.col("kind") == "begin", 1).otherwise(-1)).alias("open"))
+    over = Window.partitionBy("label").orderBy("__r")
+    ranges = ranges.select("label", "__r", F.lag("last").over(over).alias("__before"), (F.sum("open").over(Window.partitionBy("label")) == 0).alias("balanced"))
+    inside = Window.partitionBy("label", "__r").orderBy("at", "kind")
+    marked = rows.withColumn("__own", F.lag(F.struct("at", "kind")).over(inside)).join(ranges, ["label", "__r"])
+    marked = marked.withColumn("__b", F.coalesce("__own", "__before"))
+    return marked.where("kind = 'end' and __b.kind = 'begin'").select("label", (F.col("at") - F.col("__b.at")).alias("elapsed"), "balanced")
 
 
 def operations(rows: int, cols: int, batch: int, nnz: int) -> dict[str, int]:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import PRIME, draw, floor_div
 from ..matrix import ShapeError
 
 
@@ -15,6 +16,56 @@ from ..matrix import ShapeError
 class Tensor:
     df: DataFrame
     dims: tuple[int, ...]
+    #: Allocated dimensions, not less than ``dims``; none: no padding.
+    allocated: tuple[int, ...] | None = None
+
+    def __post_init__(self):
+        if self.allocated and (len(self.allocated) != len(self.dims) or any(a < d for a, d in zip(self.allocated, self.dims, strict=True))):
+            raise ShapeError(f"{self.allocated} does not hold {self.dims}")
+
+    @property
+    def leading(self) -> tuple[int, ...]:
+        return self.allocated or self.dims
+
+    @property
+    def leading_size(self) -> int:
+        return reduce(lambda a, b: a * b, self.leading, 1)
+
+    @property
+    def length(self) -> int:
+        """The values of a vector."""
+        return self.axis_size(0, 1)
+
+    @property
+    def rows(self) -> int:
+        return self.axis_size(0, 2)
+
+    @property
+    def cols(self) -> int:
+        return self.axis_size(1, 2)
+
+    def axis_size(self, d: int, rank: int) -> int:
+        if self.rank != rank:
+            raise ShapeError(f"a tensor of rank {self.rank}, not {rank}")
+        return self.dims[d]
+
+    def padded(self, *pad: int) -> Tensor:
+        """The same values in an allocation that is larger by ``pad`` along each axis."""
+        if len(pad) != self.rank or min(pad) < 0:
+            raise ShapeError(f"padding {pad} of {self.dims}")
+        return Tensor(self.df, self.dims, tuple(d + p for d, p in zip(self.dims, pad, strict=True)))
+
+    def printed(self) -> DataFrame:
+        """Lines: a vector's values, a matrix's rows, or those of every matrix of a higher rank under its indices."""
+        value = F.col("v").cast("string")
+        if self.rank == 1:
+            return self.df.orderBy("i0").select(value.alias("line"))
+        held = [f"i{d}" for d in range(2, self.rank)]
+        rows = self.df.groupBy(*held, "i0").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i1", value.alias("v"))))["v"], " ").alias("line"))
+        if not held:
+            return rows.orderBy("i0").select("line")
+        heads = self.df.select(*held).distinct().select(*held, F.lit(-1).cast("long").alias("i0"), F.format_string("[%s]", F.concat_ws(", ", F.lit(":"), F.lit(":"), *[F.col(h).cast("string") for h in held])).alias("line"))
+        return heads.unionByName(rows).orderBy(*reversed(held), "i0").select("line")
 
     @property
     def rank(self) -> int:
@@ -26,9 +77,9 @@ class Tensor:
 
     @property
     def strides(self) -> tuple[int, ...]:
-        """Column-major: the first index moves fastest."""
+        """Column-major over the allocation: the first index moves fastest."""
         out = [1]
-        for d in self.dims[:-1]:
+        for d in self.leading[:-1]:
             out.append(out[-1] * d)
         return tuple(out)
 
@@ -61,10 +112,19 @@ def filled(spark: SparkSession, dims: tuple[int, ...], value: Column) -> Tensor:
         raise ShapeError(f"dimensions {dims}")
     tensor = Tensor(spark.range(1).selectExpr("0L as v"), tuple(dims))
     rows = spark.range(tensor.size)
-    rows = rows.select(*[(F.floor(F.col("id") / s) % d).cast("long").alias(f"i{k}") for k, (s, d) in enumerate(zip(tensor.strides, dims, strict=True))])
+    rows = rows.select(*[(floor_div(F.col("id"), s) % d).cast("long").alias(f"i{k}") for k, (s, d) in enumerate(zip(tensor.strides, dims, strict=True))])
     return Tensor(rows.withColumn("v", value), tuple(dims))
 
 
+def random(spark: SparkSession, dims: tuple[int, ...], seed: int = 0, low: float = -1.0, high: float = 1.0) -> Tensor:
+    """Values in [low, high) from hashes of their places, for any rank."""
+    return filled(spark, dims, F.lit(low) + draw(seed, *[F.col(f"i{d}") for d in range(len(dims))]) / float(PRIME) * (high - low))
+
+
+def constant(spark: SparkSession, dims: tuple[int, ...], value) -> Tensor:
+    return filled(spark, dims, F.lit(value))
+
+
 def from_nested(spark: SparkSession, values: list) -> Tensor:
     """A tensor from nested lists of one shape."""
 
@@ -106,3 +166,21 @@ def normalised(df: DataFrame, by: str, value: str = "x") -> DataFrame:
     """Each vector over its length; a zero vector stays as it is."""
     norms = vector_norms(df, [by], value).select(by, F.sqrt(F.col("l2_squared").cast("double")).alias("__l"))
     return df.join(norms, by).withColumn(value, F.when(F.col("__l") > 0, F.col(value) / F.col("__l")).otherwise(F.col(value).cast("double"))).drop("__l")
+
+
+def array_norms(df: DataFrame, value: str = "x") -> DataFrame:
+    """``df`` with the norms of each row's vector, in place: nothing is shuffled."""
+    zero = F.element_at(value, 1) * 0
+    total = lambda f: F.aggregate(F.transform(value, f), F.lit(0).cast("long") if integral(df, value) else F.lit(0.0), lambda a, b: a + b)
+    return df.select("*", total(F.abs).alias("l1"), total(lambda x: x * x).alias("l2_squared"), F.array_max(F.transform(value, F.abs)).alias("linf")).withColumn("linf", F.coalesce("linf", zero))
+
+
+def integral(df: DataFrame, value: str) -> bool:
+    return dict(df.dtypes)[value] in ("array<tinyint>", "array<smallint>", "array<int>", "array<bigint>")
+
+
+def array_normalised(df: DataFrame, value: str = "x") -> DataFrame:
+    """Each row's vector over its length, in place; a zero vector stays as it is."""
+    length = F.sqrt(F.aggregate(F.transform(value, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, b: a + b))
+    rows = df.withColumn("__l", length)
+    return rows.withColumn(value, F.transform(value, lambda x: F.when(F.col("__l") > 0, x / F.col("__l")).otherwise(x.cast("double")))).drop("__l")

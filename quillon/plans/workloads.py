@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import Matrix
 from ..operators.layout import axis
+from ..operators.tensor import Tensor
 
 SIZES, WIDTH = 51, 64
 
@@ -32,6 +33,19 @@ def trade(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix(cells.agg(F.sum(F.floor("l_quantity")).cast("long").alias("v")), rows, cols)
 
 
+def sales(spark: SparkSession, sf_dir: str) -> Matrix:
+    """The rows of the line items as entries, repeated cells and all."""
+    cells = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("c"), F.floor("l_quantity").cast("long").alias("v"))
+    rows, cols = (read(spark, sf_dir, t).count() for t in ("supplier", "part"))
+    return Matrix(cells, rows, cols)
+
+
+def tensor(spark: SparkSession, sf_dir: str) -> Tensor:
+    """The embeddings' cells by place (i0) and vector (i1)."""
+    n = read(spark, sf_dir, "embeddings").count()
+    return Tensor(cells(spark, sf_dir).select(F.col("c").alias("i0"), F.col("n").alias("i1"), F.col("x").alias("v")), (WIDTH, n))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("n"), F.transform("embedding", lambda x: F.round(x.cast("double") * 10000).cast("long")).alias("x"))
 

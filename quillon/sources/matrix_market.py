@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..matrix import Matrix
-from ..operators.layout import block_expanded, rebased, renumbered, symmetric
+from ..operators.layout import block_expanded, csr_rows, rebased, renumbered, symmetric
 
 
 class FormatError(ValueError):
@@ -78,12 +78,22 @@ def parse_header(lines: list[str]) -> Header:
     return Header(coordinate, kind, storage, numbers[0], numbers[1], numbers[2] if coordinate else numbers[0] * numbers[1])
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines and their place: file by name, part of the file, and the order inside the part."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
+    return spark.read.text(path).select(F.trim("value").alias("line"), place.alias("place"))
+
+
 def first_lines(spark: SparkSession, path: str) -> list[str]:
-    """The lines up to that of sizes, however many comments there are."""
-    lines, n = spark.read.text(path), 64
+    """The lines up to that of sizes, however many comments there are, from the first file."""
+    lines, n = placed_lines(spark, path), 64
+    first = lines.agg(F.min("place.file")).first()[0]
+    if first is None:
+        return []
+    lines = lines.where((F.col("place.file") == first) & (F.col("place.part") == 0)).orderBy("place").select("line")
     while True:
-        head = [r.value for r in lines.take(n)]
-        if len(head) < n or any(x.strip() and not x.startswith("%") for x in head[1:]):
+        head = [r.line for r in lines.limit(n).collect()]
+        if len(head) < n or any(x and not x.startswith("%") for x in head[1:]):
             return head
         n *= 4
 
@@ -102,11 +112,11 @@ def read(spark: SparkSession, path: str, force_symmetric: bool = False, seed: in
         raise FormatError(f"{header.storage.value} files are only read as symmetric, on request")
     if header.kind is Kind.complex and not complex_as_sum:
         raise FormatError("complex values")
-    rows = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("at")).where("line <> '' and not line like '\\%%'")
-    n, sizes = rows.agg(F.count(F.lit(1)), F.min("at")).first()
+    rows = placed_lines(spark, path).where("line <> '' and not line like '\\%%'")
+    n, sizes = rows.agg(F.count(F.lit(1)), F.min("place")).first()
     if n - 1 < header.entries:
         raise FormatError(f"{n - 1} entries, not {header.entries}")
-    rows = rows.where(F.col("at") > sizes)
+    rows = rows.where(F.col("place") > F.struct(F.lit(sizes.file).alias("file"), F.lit(sizes.part).cast("long").alias("part"), F.lit(sizes["at"]).cast("long").alias("at")))
     if n - 1 > header.entries:  # what follows the entries is not read
         rows = first_rows(rows, header.entries)
     words = F.split("line", r"\s+")
@@ -125,15 +135,19 @@ def read(spark: SparkSession, path: str, force_symmetric: bool = False, seed: in
     return found
 
 
+def read_csr(spark: SparkSession, path: str, force_symmetric: bool = False) -> DataFrame:
+    """k, cols, vals: from the binary form if the suffix is ``bin``, else from text."""
+    m = read_binary(spark, path) if path.rstrip("/").rpartition(".")[2] == "bin" else read(spark, path, force_symmetric)
+    return csr_rows(m)
+
+
 def first_rows(rows: DataFrame, n: int) -> DataFrame:
     """The first n rows by place: the rank within a file's part, after the parts before it."""
-    from pyspark.sql import Window
-
-    part = F.shiftright("at", 33)
-    counts = rows.groupBy(part.alias("part")).count()
-    before = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = rows.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("at")))
-    return ranked.join(F.broadcast(before), "part").where(F.col("before") + F.col("r") <= n).select("line", "at")
+    part = [F.col("place.file").alias("file"), F.col("place.part").alias("part")]
+    counts = rows.groupBy(*part).count()
+    before = counts.select("file", "part", F.coalesce(F.sum("count").over(Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = rows.select("line", *part, "place").withColumn("r", F.row_number().over(Window.partitionBy("file", "part").orderBy("place")))
+    return ranked.join(before, ["file", "part"]).where(F.col("before") + F.col("r") <= n).select("line", "place")
 
 
 def write(m: Matrix, folder: str, pattern: bool = False, compressed: bool = False) -> None:
@@ -188,6 +202,25 @@ def read_blocks(spark: SparkSession, path: str, size: int, seed: int = 0) -> Dat
     return places.withColumn("vals", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda p: F.shiftrightunsigned(F.xxhash64("br", "bc", p, F.lit(seed)), 11).cast("double") / float(1 << 53)))
 
 
+def lines_or(empty: str, lines: DataFrame) -> DataFrame:
+    """The lines in order, or one that says there is nothing."""
+    if lines.limit(1).count():
+        return lines
+    return lines.sparkSession.createDataFrame([(empty,)], "line string")
+
+
 def dump(m: Matrix) -> DataFrame:
-    """Lines "(k, c): v" in order."""
-    return m.df.orderBy("k", "c").select(F.format_string("(%d, %d): %s", F.col("k").cast("long"), F.col("c").cast("long"), F.col("v").cast("string")).alias("line"))
+    """Lines "(k, c): v" in order; an empty matrix says so."""
+    return lines_or("<Empty matrix>", m.df.orderBy("k", "c").select(F.format_string("(%d, %d): %s", F.col("k").cast("long"), F.col("c").cast("long"), F.col("v").cast("string")).alias("line")))
+
+
+def dump_rows(rows: DataFrame) -> DataFrame:
+    """The same lines from rows (k, cols, vals)."""
+    cells = rows.select("k", F.posexplode(F.arrays_zip("cols", "vals")).alias("p", "e")).orderBy("k", "p")
+    return lines_or("<Empty matrix>", cells.select(F.format_string("(%d, %d): %s", F.col("k").cast("long"), F.col("e.cols").cast("long"), F.col("e.vals").cast("string")).alias("line")))
+
+
+def dump_blocks(blocks: DataFrame) -> DataFrame:
+    """Lines "(br, bc): values" of blocks (br, bc, vals)."""
+    values = F.concat_ws(" ", F.transform("vals", lambda v: v.cast("string")))
+    return lines_or("<Empty matrix>", blocks.orderBy("br", "bc").select(F.format_string("(%d, %d): %s", F.col("br").cast("long"), F.col("bc").cast("long"), values).alias("line")))

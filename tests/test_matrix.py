@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import hashing
 from quillon.matrix import Matrix, ShapeError
 from quillon.operators import kernels, layout, metrics, tensor
 
@@ -24,7 +25,7 @@ def cells(df, name):
     return df.select("n", F.posexplode("x").alias("c" if name == "x" else "k", name))
 
 
-@pytest.mark.parametrize("strategy", ["vector", "coordinate", "blocked"])
+@pytest.mark.parametrize("strategy", [None, "vector", "coordinate", "blocked", "tiled"])
 def test_products(spark, m, strategy):
     out = {(r.n, r.k): r.o for r in kernels.forward(m, frame(spark, INPUTS), strategy).collect()}
     assert [[out[n, k] for k in range(4)] for n in range(2)] == [[7, 0, 23, 14], [0, 0, -5, -5]]
@@ -101,3 +102,121 @@ def test_errors_and_profile(spark):
     log = spark.createDataFrame([("a", 2, 10), ("a", 4, 10), ("b", 5, 0)], "label string, elapsed long, ops long")
     rows = {r.label: r for r in metrics.profile(log).collect()}
     assert rows["b"].rate is None and rows["Total"].most == 9 and rows["a"].average == 3
+
+
+FORMS = ["vector", "coordinate", "blocked", "tiled"]
+
+
+@pytest.mark.parametrize("strategy", FORMS)
+def test_shapes_of_products(spark, m, strategy):
+    for x in ([1], [1, 2, 3, 4, 5], None):
+        with pytest.raises(Exception, match="ShapeError"):
+            kernels.forward(m, frame(spark, [(0, x)]), strategy).collect()
+
+
+def test_shapes_of_other_products(spark, m):
+    cells = spark.createDataFrame([(0, 0, 1)], "i long, j long, v long")
+    with pytest.raises(ShapeError):
+        kernels.gemm(cells, cells, shapes=((2, 3), (2, 3)))
+    assert kernels.gemm(cells, cells, transpose_b=True, shapes=((2, 3), (2, 3))).count() == 1
+    with pytest.raises(ShapeError):
+        kernels.spmv(m, spark.createDataFrame([(4, 1)], "c long, x long"))
+    assert [r.y for r in kernels.spmv(m, spark.createDataFrame([(0, 2)], "c long, x long")).orderBy("k").collect()] == [2, 0, 6, 0]
+
+
+@pytest.mark.parametrize("strategy", FORMS)
+def test_decimals_keep_their_digits(spark, strategy):
+    m = Matrix(spark.createDataFrame([(0, 0, 2.5), (1, 1, 0.25)], "k long, c long, v double").selectExpr("k", "c", "cast(v as decimal(10,2)) as v"), 2, 2)
+    x = spark.createDataFrame([(0, [2, 3])], "n long, x array<long>")
+    assert sorted((r.k, r.o) for r in kernels.forward(m, x, strategy).collect()) == [(0, 5.0), (1, 0.75)]
+
+
+def test_decimals_in_updates(spark, m):
+    x = cells(frame(spark, INPUTS), "x").selectExpr("n", "c", "cast(x / 2 as decimal(10,1)) as x")
+    out = kernels.update(m, x, cells(frame(spark, GRADS), "g")).orderBy("k", "c").collect()
+    assert [r.dv for r in out] == [0.5, 1.5, 0.5, 2.5, 2.5, 0.5]
+
+
+def test_whole_number_division(spark):
+    big = 2**53 + 1
+    row = spark.range(1).select(F.lit(big).alias("a"), F.lit(-7).cast("long").alias("b")).select(hashing.floor_div("a", 1), hashing.ceil_div("a", 1), hashing.floor_div("b", 2), hashing.ceil_div("b", 2), layout.div(F.lit(2**62 + 3), 4)).first()
+    assert tuple(row) == (big, big, -4, -3, 2**60)
+
+
+@pytest.mark.parametrize("tiles", [(2, 3, 2), (1, 1, 1), (256, 256, 64)])
+def test_tiles_of_any_size(spark, m, tiles):
+    kb, cb, nb = tiles
+    x, g = frame(spark, [(0, [1, 2, 3, 4]), (7, [0, 1, 0, -1])]), frame(spark, [(0, [1, 1, 1, 1]), (7, [2, 0, -1, 3])])
+    out = {(r.n, r.k): r.o for r in kernels.tiled(m, x, "long", kb, cb, nb).collect()}
+    assert [[out[n, k] for k in range(4)] for n in (0, 7)] == [[7, 0, 23, 14], [0, 0, -5, -5]]
+    back = kernels.update_vectors(m, x, g.withColumnRenamed("x", "g"), kb, cb, nb).orderBy("k", "c").collect()
+    assert [r.dv for r in back] == [1, 3, 1, 5, 5, 1]
+    empty = Matrix(m.df.where("false"), 2, 4)
+    assert [r.o for r in kernels.tiled(empty, x, "long", kb, cb, nb).collect()] == [0] * 4
+    assert kernels.tiled(m, x.where("n > 99"), "long", kb, cb, nb).count() == 0
+
+
+def test_more_entries_than_are_collected(spark):
+    n = 520_000
+    m = Matrix(spark.range(n).selectExpr("id % 1000 as k", "(id * 7) % 1300 as c", "id % 5 - 2 as v"), 1000, 1300)
+    x = spark.range(3).selectExpr("id as n", "transform(sequence(0, 1299), c -> (c * 3 + id) % 11 - 5) as x")
+    want = {}
+    for i in range(n):
+        for b in range(3):
+            key = (b, i % 1000)
+            want[key] = want.get(key, 0) + (i % 5 - 2) * (((i * 7) % 1300 * 3 + b) % 11 - 5)
+    assert {(r.n, r.k): r.o for r in kernels.forward(m, x).collect()} == want
+    with pytest.raises(ShapeError):
+        kernels.forward(m, x, "blocked")
+
+
+def test_places_of_repeats(spark):
+    rows = [(0, 1, 5), (0, 1, 3), (1, 0, 1), (0, 1, 3), (1, 1, 2), (2, 0, 9)]
+    m = Matrix(spark.createDataFrame(rows, "k long, c long, v long").repartition(3), 3, 130)
+    pairs = sorted(tuple(r) for r in layout.transpose_map(m).collect())
+    order = sorted(range(6), key=lambda i: rows[i])
+    by_column = sorted(range(6), key=lambda p: (rows[order[p]][1], rows[order[p]][0], p))
+    assert pairs == list(enumerate(by_column))
+    wide = Matrix(spark.range(300).selectExpr("0L as k", "(id * 7) % 300 as c", "1 as v"), 1, 300)  # one row that is cut into parts
+    assert [(r.c, r.pos) for r in layout.positioned(wide).orderBy("c").collect()] == [(i, i) for i in range(300)]
+
+
+def test_running_sums_over_ranges(spark):
+    df = spark.range(50).selectExpr("id * 3 as k", "id as n").repartition(4)
+    got = {r.k: (r.i, r.before) for r in layout.running(df, "k", {"i": F.lit(1), "before": F.col("n")}, span=16).collect()}
+    assert got == {3 * i: (i, sum(range(i))) for i in range(50)}
+
+
+def test_lookup_with_first_insert(spark):
+    held = layout.first_inserted(spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z")], "key string, at int, name string"), ["key"], "at", "name")
+    asked = spark.createDataFrame([("a",), ("c",)], "key string")
+    assert sorted(tuple(r) for r in layout.looked_up(asked, held, ["key"], "name").collect()) == [("a", "y"), ("c", None)]
+
+
+def test_padding_and_printing(spark):
+    t = tensor.filled(spark, (2, 3), F.col("i0") * 10 + F.col("i1")).padded(2, 1)
+    assert (t.rows, t.cols, t.leading, t.leading_size, t.strides) == (2, 3, (4, 4), 16, (1, 4))
+    assert [r.offset for r in t.ordered().collect()] == [0, 1, 4, 5, 8, 9]
+    assert [r.line for r in t.printed().collect()] == ["0 1 2", "10 11 12"]
+    cube = tensor.filled(spark, (2, 2, 2), F.col("i0") + 2 * F.col("i1") + 4 * F.col("i2"))
+    assert [r.line for r in cube.printed().collect()] == ["[:, :, 0]", "0 2", "1 3", "[:, :, 1]", "4 6", "5 7"]
+    assert [r.line for r in tensor.constant(spark, (3,), 7).printed().collect()] == ["7"] * 3 and tensor.constant(spark, (3,), 7).length == 3
+    low, high = tensor.random(spark, (20, 5, 4), seed=2, low=2.0, high=4.0).df.agg(F.min("v"), F.max("v")).first()
+    assert 2 <= low < 2.1 and 3.9 < high < 4
+    for bad in (lambda: t.padded(-1, 0), lambda: cube.rows, lambda: tensor.Tensor(t.df, (2, 3), (1, 3))):
+        with pytest.raises(ShapeError):
+            bad()
+
+
+def test_norms_in_place(spark):
+    df = spark.createDataFrame([(0, [3, -4]), (1, [0, 0])], "n long, x array<long>")
+    assert [tuple(r)[2:] for r in tensor.array_norms(df).orderBy("n").collect()] == [(7, 25, 4), (0, 0, 0)]
+    assert [r.x for r in tensor.array_normalised(df).orderBy("n").collect()] == [[0.6, -0.8], [0.0, 0.0]]
+
+
+def test_listing_and_pairs(spark):
+    log = spark.createDataFrame([("b", 2, 10), ("a", 4, 10)], "label string, elapsed long, ops long")
+    assert [r.label for r in metrics.listing(log).collect()] == ["a", "b", "Total"]
+    events = [("a", 1, "begin"), ("a", 25, "end"), ("a", 26, "end"), ("b", 3, "begin"), ("b", 95, "end"), ("b", 99, "begin"), ("b", 99, "end")]
+    got = metrics.paired(spark.createDataFrame(events, "label string, at long, kind string"), span=10).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 24, False), ("b", 0, True), ("b", 92, True)]

@@ -74,7 +74,7 @@ def test_round_trips(spark, tmp_path):
 def test_graph(spark, scale):
     edges = generators.power_law_edges(spark, scale, 4)
     found = {tuple(r) for r in edges.collect()}
-    assert found and len(found) == edges.count()
+    assert len(found) == edges.count() == 2 * (4 << scale)  # both directions of exactly so many
     assert all(s != d and (d, s) in found and 0 <= s < 2**scale for s, d in found)
     assert found == {tuple(r) for r in generators.power_law_edges(spark, scale, 4).collect()}
 
@@ -106,3 +106,41 @@ def test_stream(spark, tmp_path):
     query = running_profile(stream).writeStream.outputMode("complete").format("memory").queryName("seen").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("seen").collect()} == {("a", 2, 7, 5, 2), ("b", 1, 1, 1, 1)}
+
+
+def test_text_over_several_parts(spark, tmp_path):
+    """What is written in parts is read again, whatever order the parts come in."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        m = generators.random_dense(spark, 200, 200, seed=3)
+        mm.write(m, str(tmp_path / "parts"))
+        assert len(list((tmp_path / "parts").glob("part-*"))) > 1
+        back = mm.read(spark, str(tmp_path / "parts"))
+        assert (back.rows, back.cols) == (200, 200) and entries(back) == entries(m)
+        assert mm.read_csr(spark, str(tmp_path / "parts")).count() == 200
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_rows_by_suffix_and_dumps(spark, tmp_path):
+    m = Matrix(spark.createDataFrame([(0, 2, 2.5), (2, 0, -3.0)], "k long, c long, v double"), 3, 3)
+    mm.write_binary(m, str(tmp_path / "m.bin"))
+    rows = mm.read_csr(spark, str(tmp_path / "m.bin"))
+    assert [r.line for r in mm.dump_rows(rows).collect()] == ["(0, 2): 2.5", "(2, 0): -3.0"]
+    empty = Matrix(m.df.where("false"), 3, 3)
+    assert [r.line for r in mm.dump(empty).collect()] == ["<Empty matrix>"] == [r.line for r in mm.dump_rows(rows.where("false")).collect()]
+    blocks = spark.createDataFrame([(0, 1, [1.0, 2.0])], "br long, bc long, vals array<double>")
+    assert [r.line for r in mm.dump_blocks(blocks).collect()] == ["(0, 1): 1.0 2.0"]
+
+
+def test_graph_that_cannot_be(spark):
+    with pytest.raises(ShapeError):
+        generators.power_law_edges(spark, 2, 4)
+
+
+def test_strings(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(hashing.joined(F.lit("a"), F.lit(None), F.lit(1)), hashing.repeated(F.lit("ab"), 3), hashing.suffix(F.lit("/x.y/c.bin")), hashing.suffix(F.lit("/x.y/c"))).first()
+    assert tuple(row) == ("a1", "ababab", "bin", "")
