@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if its counted rows are at most this many.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if its files have at most so many bytes, and its counted rows are at most so many.
+BROADCAST_BYTES, BROADCAST_ROWS = 48 << 20, 1_000_000
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 16 << 20
 
@@ -22,20 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in local tests) is one made here.
+    Where the session names none, a local master gets one; on a cluster no folder
+    of one machine would do, so that is an error.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = root or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillon-"))
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillon-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
+#: Folders that this driver has made, until they are released.
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{work_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many work folders there are; those made after can be released."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: str | None = None) -> None:
+    """Remove work folders, made since then, that no table is read from any more."""
+    paths, conf = _made[since:], spark.sparkContext._jsc.hadoopConfiguration()
+    del _made[since:]
+    for path in paths:
+        if path == keep:
+            _made.append(path)
+            continue
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -47,8 +70,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already written) with a broadcast hint if it is small, else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
+    """``df`` (already written) with a broadcast hint if its files and rows are small, else as it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(name: str = "text") -> Column:

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, text_of, work_path, written
+from .common import fresh, sized, text_of, work_path, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROCKSDB = {
@@ -131,9 +131,10 @@ def by_bytes(docs: DataFrame, bad: DataFrame, norm: Column, digest: Callable[[Co
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows of which a copy with a larger ``doc_id`` stays."""
     groups = written(exact_groups(docs), "dedup-result")
-    keyed = docs.withColumn("__digest", sha256(normalised(text_of())))
-    gone = written(groups.where("not kept and not (doc_id <=> keep_id)").select(F.col("digest").alias("__d"), F.col("doc_id").alias("__id")), "dedup-gone")
-    left = keyed.join(sized(gone), (F.col("__digest") == F.col("__d")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    if groups.where("not kept and doc_id <=> keep_id").count():  # rows that repeat with one doc_id
-        left = left.dropDuplicates(["doc_id", "__digest"])
-    return left.drop("__digest")
+    own, digest, doc_id = (fresh(docs, x) for x in ("__digest", "__d", "__id"))
+    keyed = docs.withColumn(own, sha256(normalised(text_of())))
+    gone = written(groups.where("not kept and not (doc_id <=> keep_id)").select(F.col("digest").alias(digest), F.col("doc_id").alias(doc_id)), "dedup-gone")
+    left = keyed.join(sized(gone), (F.col(own) == F.col(digest)) & F.col("doc_id").eqNullSafe(F.col(doc_id)), "left_anti")
+    if groups.where("not kept and doc_id <=> keep_id").limit(1).count():  # rows that repeat with one doc_id
+        left = left.dropDuplicates(["doc_id", own])
+    return left.drop(own)

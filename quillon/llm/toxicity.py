@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import bounded_batches, text_of
+from .common import bounded_batches, fresh, text_of
 
 SAMPLE = 20_000
 FOLDS = 4
@@ -219,4 +219,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that are predicted to be toxic."""
     model = fit(docs, labels)
-    return docs.withColumn("__score", score(model, text_of())).where(F.col("__score") < THRESHOLD).drop("__score")
+    name = fresh(docs, "__score")
+    return docs.withColumn(name, score(model, text_of())).where(F.col(name) < THRESHOLD).drop(name)
