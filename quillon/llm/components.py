@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Places to which the edges of one node are dealt.
+SALTS = 8
+
 
 def stars(edges: DataFrame, large: bool) -> DataFrame:
     """Link the larger (or the smaller and own) neighbours of each node to the least one.
 
-    The least neighbour is an aggregate, joined back, so a node of any degree is
-    no load for one task.
+    The least neighbour is an aggregate, joined back; the edges of a node are dealt
+    to ``SALTS`` places for that, and AQE splits what is larger still.
     """
     if large:
         sides = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sides = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = sides.join(least, "u")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    joined = sides.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least.withColumn("salt", salts), ["u", "salt"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -2,21 +2,30 @@
 
 Words (lower case, cut at white space) give sets of shingles of five words; a
 text of one to four words is one shingle.  Texts with the same words are one
-node, whatever the number of their copies.  A forest has ``TREES`` prefix tries
-of MinHash labels.  The prefix that has to match starts at ``LONGEST`` hashes
-and is shortened until the recall that the trees together promise at the
-threshold reaches ``RECALL``; nodes that share such a prefix in any tree are
-candidates.  Candidates that hang together are compared by their exact shingle
-sets, in blocks of bounded size; no pair is ever emitted, only each node's
-number of links and a spanning forest.
-
-With 32 trees and a recall of 0.9999 at 0.8 the prefix has six hashes; pairs
-that are more alike are missed less often.
+node, whatever the number of their copies.  A forest has ``TREES`` prefix tries:
+each holds a label of ``LONGEST`` hashes of every node, kept as one number, so
+that a beginning of it is a shift and sorted labels are the trie.
+
+Matching starts from whole labels and shortens them.  The least length is the
+longest one with which all trees together find a pair at the threshold with the
+probability ``RECALL`` (six hashes for 0.9999 at 0.8).  A beginning that is crowded
+(more than ``CROWD`` labels) is not shortened that far: each label stops at the
+first length where it is in company of bounded size, at the whole label at most,
+for which the trees still promise 0.997.  Nodes that share a beginning are
+compared by all their hashes, and those that are unlike (four standard errors
+below the threshold) are no candidates, so that chance meetings do not hang
+classes together; only nodes that share a crowded whole label are taken as they
+are.
+
+Candidates that hang together are compared by their exact shingle sets, in blocks
+of bounded size; no pair is ever emitted, only each node's number of links and a
+spanning forest.
 
 Edge cases: null counts as empty; texts without words are copies of one another
-and unlike all others; repeated rows each count; null ``doc_id`` is allowed, and
-greater than others; an empty table gives no rows; other columns are not read (``one_of_each`` keeps
-them).
+and unlike all others; very long texts count whole; repeated rows each count;
+null ``doc_id`` is allowed, and greater than others; pairs at exactly the
+threshold are linked; an empty table gives no rows; other columns are not read
+(``one_of_each`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -26,15 +35,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import sized, bounded_batches, text_of, written
+from .common import bounded_batches, fresh, sized, text_of, written
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, LONGEST, RECALL = 32, 16, 0.9999
+TREES, LONGEST, RECALL = 32, 8, 0.9999
+#: Labels that may share a beginning for it to be shortened to, and standard errors below the threshold.
+CROWD, ERRORS = 256, 4
+#: Copies of a text from which it is hot.
+HOT = 1024
 #: Nodes of a block; two blocks at most are in one task.
 BLOCK = 256
 CACHE_WORDS = 100_000
@@ -79,45 +92,118 @@ def node_of(words: list[str]) -> bytes:
 
 
 class Forest:
-    """The keys of a shingle set: one for each tree, from its label's prefix."""
+    """The labels of a shingle set: one number for each tree, a byte of it for each hash, first hash highest."""
 
-    def __init__(self, trees: int = TREES, length: int | None = None, seed: int = SEED):
-        self.trees, self.length = trees, length or prefix_length(trees=trees)
+    def __init__(self, trees: int = TREES, seed: int = SEED):
+        self.trees = trees
         rng = np.random.RandomState(seed)
-        n = self.trees * self.length
+        n = trees * LONGEST
         self.a = rng.randint(0, 2**31, n, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.randint(0, 2**31, n, dtype=np.int64).astype(np.uint32)
 
-    def label(self, found: np.ndarray) -> np.ndarray:
+    def labels(self, found: np.ndarray) -> np.ndarray:
         s = (found >> np.uint64(32)).astype(np.uint32)
         low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         for at in range(0, len(s), 1024):
             np.minimum(low, (s[at : at + 1024, None] * self.a + self.b).min(axis=0), out=low)
-        return low
-
-    def keys(self, found: np.ndarray) -> list[int]:
-        label = self.label(found).reshape(self.trees, self.length).astype(np.uint64)
-        key = np.arange(1, self.trees + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        for i in range(self.length):
-            key = (key ^ label[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        return key.astype(np.int64).tolist()
+        return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).view(">i8").astype(np.int64)
 
 
 def signed(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
-    """doc_id, node and keys of every document."""
+    """doc_id, node and labels of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            nodes, keys = [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                nodes.append(node_of(words))
-                keys.append(forest.keys(shingles(words, hashes, size)) if words else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+            for at in range(0, batch.num_rows, 1000):
+                part, nodes, labels = batch.slice(at, 1000), [], []
+                for text in part.column(1).to_pylist():
+                    words = words_of(text)
+                    nodes.append(node_of(words))
+                    labels.append(forest.labels(shingles(words, hashes, size)) if words else [])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], names=["doc_id", "node", "labels"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, node binary, labels array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, node binary, keys array<long>")
+def beginning(length: int) -> Column:
+    return F.shiftright("label", 64 - 8 * length)
+
+
+def company(nodes: DataFrame, least: int, crowd: int = CROWD) -> DataFrame:
+    """node, tree, length, prefix, n: the beginnings that nodes share with others, and how many do.
+
+    ``least``: to how many hashes a label is shortened.
+    """
+    places = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
+    shared = places.groupBy("tree", beginning(least).alias("prefix")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = written(places.withColumn("prefix", beginning(least)).join(shared, ["tree", "prefix"]).select("node", "tree", "label", F.lit(least).alias("length"), "prefix", "n"), "places")
+    done, rest = rows.where(F.col("n") <= crowd), rows.where(F.col("n") > crowd)
+    for length in range(least + 1, LONGEST + 1):
+        counts = rest.groupBy("tree", beginning(length).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        rest = rest.select("node", "tree", "label", F.lit(length).alias("length"), beginning(length).alias("prefix")).join(counts, ["tree", "prefix"]).select(rows.columns)
+        if length < LONGEST:
+            done, rest = done.unionByName(rest.where(F.col("n") <= crowd)), rest.where(F.col("n") > crowd)
+    return done.unionByName(rest).where("n > 1").drop("label")
+
+
+def alike(labels: np.ndarray, least: float) -> np.ndarray:
+    """For each node the first of those it hangs together with, by links of at least this share of equal hashes."""
+    m, hashes = len(labels), labels.astype(np.int64).view(np.uint8).reshape(len(labels), -1)
+    linked = np.zeros((m, m), bool)
+    for at in range(0, m, 64):
+        linked[at : at + 64] = (hashes[at : at + 64, None, :] == hashes[None, :, :]).mean(axis=2) >= least
+    first = np.arange(m)
+    while True:
+        lower = np.where(linked, first[None, :], m).min(axis=1)
+        if (lower == first).all():
+            return first
+        first = lower
+
+
+def candidates(nodes: DataFrame, similarity: float, recall: float, trees: int, crowd: int = CROWD) -> DataFrame:
+    """Edges (u, v) that connect the candidates which share a beginning in some tree."""
+    found = written(company(nodes, prefix_length(similarity, recall, trees), crowd), "company")
+    n = trees * LONGEST
+    least = similarity - ERRORS * (similarity * (1 - similarity) / n) ** 0.5
+    keys = ["tree", "length", "prefix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by beginning and node; one beginning is held at a time."""
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+
+        def edges(keys: np.ndarray, labels: np.ndarray, nodes: pa.Array) -> pa.RecordBatch | None:
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+            u, v = [], []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
+                first = alike(labels[a:b], least)
+                at = np.flatnonzero(first != np.arange(b - a))
+                u.append(at + a)
+                v.append(first[at] + a)
+            u, v = np.concatenate(u), np.concatenate(v)
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(u)), nodes.take(pa.array(v))], names=["u", "v"]) if len(u) else None
+
+        def joined() -> tuple[np.ndarray, np.ndarray, pa.Array]:
+            return tuple(np.concatenate([h[i] for h in held]) for i in (0, 1)) + (pa.concat_arrays([h[2] for h in held]),)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tree", "length", "prefix")], axis=1)
+            held.append((own, batch.column("labels").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("node")))
+            keys_, labels, nodes_ = joined()
+            last = int(np.flatnonzero((keys_ != keys_[-1]).any(axis=1))[-1]) + 1 if (keys_[0] != keys_[-1]).any() else 0
+            if last and (out := edges(keys_[:last], labels[:last], nodes_.slice(0, last))):
+                yield out
+            held[:] = [(keys_[last:], labels[last:], nodes_.slice(last))]
+        if held and (out := edges(*joined())):
+            yield out
+
+    near = found.where(F.col("n") <= crowd).join(nodes.select("node", "labels"), "node").select(*keys, "node", "labels")
+    near = near.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u binary, v binary")
+    full = found.where(F.col("n") > crowd).select(*keys, "node")
+    first = full.groupBy(*keys).agg(F.min("node").alias("v"))
+    return near.unionByName(full.join(first, keys).select(F.col("node").alias("u"), "v"))
 
 
 def links_in(sets: list[np.ndarray], sides: list[int], similarity: float, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -209,20 +295,16 @@ def near_classes(docs: DataFrame, size: int = WORDS, similarity: float = SIMILAR
     return classified(docs, size, similarity, trees, recall).select("doc_id", "class_id", "n_links")
 
 
-def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, trees: int = TREES, recall: float = RECALL, crowd: int = CROWD) -> DataFrame:
     """The rows of ``near_classes`` with node, and with first: whether the class keeps the row.
 
     Rows of one doc_id and node are all first if one is.
     """
     bounded_batches(docs.sparkSession)
-    forest = Forest(trees, prefix_length(similarity, recall, trees))
-    marked = written(signed(docs, size, forest), "signed")
-    nodes = written(marked.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("keys").alias("keys")), "nodes")
-
-    places = nodes.select("node", F.explode("keys").alias("key"))
-    shared = places.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v <> last").select("key", "v")
-    candidates = components(places.join(shared, "key").select(F.col("node").alias("u"), "v"))
-    members = written(candidates.join(nodes.select("node", "copies", "high"), "node"), "members")
+    marked = written(signed(docs, size, Forest(trees)), "signed")
+    nodes = written(marked.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("labels").alias("labels")), "nodes")
+    together = components(candidates(nodes, similarity, recall, trees, crowd))
+    members = written(together.join(nodes.select("node", "copies", "high"), "node"), "members")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     one = members.select("label", "node", "copies", "high")
@@ -234,8 +316,13 @@ def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARIT
     least = linked.groupBy("label").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), F.col("low"), F.col("node")))["node"].alias("keeper"))
     linked = written(linked.join(least, "label").select("node", "class_id", "keeper", "links"), "linked")
 
-    known = nodes.select("node", "copies", "low").join(linked, "node", "left").select("node", "low", F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.coalesce("keeper", "node") == F.col("node")).alias("keeps"))
-    return marked.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "n_links", "node", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("low"))).alias("first"))
+    known = nodes.select("node", "copies", "low").join(linked, "node", "left").select("node", "copies", "low", F.coalesce("class_id", "low").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), (F.coalesce("keeper", "node") == F.col("node")).alias("keeps"))
+    known, rows = written(known, "known"), marked.select("doc_id", "node")
+    # Texts with very many copies are few, so what is known of them goes to their rows.
+    hot = written(known.where(F.col("copies") >= HOT), "hot")
+    cold = rows.join(sized(hot.select("node")), "node", "left_anti").join(known.where(F.col("copies") < HOT), "node")
+    every = cold.unionByName(rows.join(sized(hot), "node"))
+    return every.select("doc_id", "class_id", "n_links", "node", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("low"))).alias("first"))
 
 
 def with_node(rows: DataFrame) -> DataFrame:
@@ -265,9 +352,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     texts, so rows go by their id and their node.
     """
     classes = written(classified(docs), "classes")
-    gone = written(classes.where("not first").select(F.col("doc_id").alias("__gone"), F.col("node").alias("__off")), "near-gone")
-    keyed = docs.withColumn("__node", text_node(text_of()))
-    left = keyed.join(sized(gone), (F.col("__node") == F.col("__off")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    node, off, gone = (fresh(docs, x) for x in ("__node", "__off", "__gone"))
+    lost = written(classes.where("not first").select(F.col("doc_id").alias(gone), F.col("node").alias(off)), "near-gone")
+    keyed = docs.withColumn(node, text_node(text_of()))
+    left = keyed.join(sized(lost), (F.col(node) == F.col(off)) & F.col("doc_id").cast("long").eqNullSafe(F.col(gone)), "left_anti")
     if classes.where("first").groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # rows that repeat with one doc_id
-        left = left.dropDuplicates(["doc_id", "__node"])
-    return left.drop("__node")
+        left = left.dropDuplicates(["doc_id", node])
+    return left.drop(node)
