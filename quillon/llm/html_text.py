@@ -6,25 +6,28 @@ scripts, styles, comments of readers), or open (the page does not say).  A class
 or id names boilerplate only as a whole, and a main element in a dropped wrapper
 is main again, as an article is unless the wrapper is a margin; navigation,
 footers, asides and comments of readers keep all that is in them dropped.  The
-words outside main blocks are a page's stream.  The streams of a host's pages
-are joined, group by group of bounded size, and a suffix array over each shows
-which runs of ``RUN`` words repeat across distinct pages; a block of fewer words
-is a run of its own.  The pages of a run are counted over all groups of the host:
-a run belongs to the host if at least ``FEW`` + 1 pages and the share ``SHARE`` of
-the host's pages with a stream have it.  Rows of one url, and pages with the same
-stream, are one page there, so a story under several addresses stays.  Open blocks
-that the host's runs cover by half or more are boilerplate; the others are text,
-in page order with the main blocks, also in a page that declares some.  Only where
-all of them beside main blocks are fewer words than a run are they left out, for
-runs cannot judge them.
-
-Runs decide only where a page leaves it open: articles that several pages share
-are text of each of them, so repeated runs in main blocks are kept.
+words of all blocks are a page's stream.  The streams of a host's pages are joined,
+group by group of bounded size, and a suffix array over each, with the lengths of
+common beginnings of neighbours, gives the longest run from every word on that
+another page has too; a run counts from ``RUN`` words, and a block of fewer is a run
+of its own.  The pages of a run are counted over all groups of the host: a run
+belongs to the host if at least ``FEW`` + 1 pages and the share ``SHARE`` of the
+host's pages have it.  Rows of one url, and pages with the same stream, are one page
+there, so a story under several addresses stays.  Open blocks that the host's runs
+cover by half or more are boilerplate; the others are text, in page order with the
+main blocks, also in a page that declares some.  Only where all of them beside main
+blocks are fewer words than a run are they left out, for runs cannot judge them.
+
+Main blocks are protected: an article that several pages share is text of each of
+them.  A host whose pages declare the role of every block has nothing for runs to
+decide, so no suffix array is made for it.
 
 Edge cases: null html is empty; a page without main text gives an empty text;
 unclosed, stray and broken tags are read as browsers do, nearly; character
-references are decoded once; repeated rows each give a row (and are one page
-for counting); null urls share a host; an empty table gives no rows.
+references are decoded once; very long pages are read whole; repeated rows each
+give a row (and are one page for counting); null urls share a host; a run that is
+exactly at a threshold belongs to the host, and a block covered by exactly half is
+boilerplate; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, bounded_batches, written
+from .common import bounded_batches, partitions_for, sized, written
 
 #: Words of a run, pages of a group, and the share of a block that makes it boilerplate.
 RUN, PAGES, COVERED = 12, 256, 0.5
@@ -187,64 +190,89 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks_of(x) for x in batch.column(3).to_pylist()]
-            roles = pa.array([[r for r, _ in b] for b in found], pa.list_(pa.int32()))
-            texts = pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], roles, texts], names=["page_id", "url", "host", "roles", "texts"])
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                found = [blocks_of(x) for x in part.column(3).to_pylist()]
+                roles = pa.array([[r for r, _ in b] for b in found], pa.list_(pa.int32()))
+                texts = pa.array([[t for _, t in b] for b in found], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(3)], roles, texts], names=["page_id", "url", "host", "roles", "texts"])
 
     return rows.mapInArrow(run, "page_id long, url string, host string, roles array<int>, texts array<string>")
 
 
-def suffix_ranks(codes: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix, its place among the distinct beginnings of ``length`` codes.
+def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and how many codes each shares with the one before it (0 for the first).
 
-    Prefix doubling: sorting by 1, 2, 4 ... codes, the last step overlapping.
-    """
-    rank, have = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
-    while have < length:
-        step = min(have, length - have)
-        after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (int(rank.max()) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-        have += step
-    return rank
-
-
-def runs_of(keys: list[int], streams: list[list[str]], length: int = RUN) -> list[tuple[int, int, int, bool]]:
-    """(key, place, run, repeats) of every window of ``length`` words of some pages.
-
-    ``repeats``: a suffix array over these pages shows the run in two of them.
+    Prefix doubling; the last code is to stand nowhere else.  What neighbours share
+    is put together from the ranks of 2^k codes, largest k first.
     """
+    n, step = len(codes), 1
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    levels = [rank.astype(np.int32)]
+    while int(rank.max()) + 1 < n:
+        after = np.full(n, -1, np.int64)
+        after[: n - step] = rank[step:]
+        rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
+        levels.append(rank.astype(np.int32))
+        step *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    a, b = order[:-1], order[1:]
+    shared = np.zeros(n - 1, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = np.minimum(a + shared, n - 1), np.minimum(b + shared, n - 1)
+        shared += np.where(levels[k][x] == levels[k][y], 1 << k, 0) * (np.maximum(a, b) + shared < n)
+    return order, np.concatenate([[0], shared])
+
+
+def running_least(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The least value since the last start, for each place."""
+    number = np.cumsum(starts) - 1
+    high = int(values.max()) + 1 if len(values) else 1
+    return np.minimum.accumulate(values - number * high) + number * high
+
+
+def shared_lengths(streams: list[list[str]], pages: list[int]) -> list[np.ndarray]:
+    """For each word of each stream, the length of the longest run from there that the stream of another page has."""
     hashes: dict[str, int] = {}
-    codes, owner, place = [], [], []
-    for k, words in enumerate(streams):
-        for i, w in enumerate(words):
-            codes.append(hashes.setdefault(w, xxhash.xxh64_intdigest(w) >> 1))
-            owner.append(k)
-            place.append(i)
-        codes.append(-1 - k)  # no run goes on into the next page
-        owner.append(-1)
-        place.append(-1)
-    codes_, owner_, place_ = np.array(codes, np.int64), np.array(owner), np.array(place)
-    n = len(codes_) - length + 1
-    if n <= 0:
-        return []
-    rank = suffix_ranks(codes_, length)[:n]
-    inside = (owner_[:n] >= 0) & (owner_[:n] == owner_[length - 1 :])
-    at = np.flatnonzero(inside)
-    order = at[np.lexsort((owner_[at], rank[at]))]  # the suffix array, of the windows that lie in a page
-    first = np.ones(len(order), bool)
-    first[1:] = rank[order[1:]] != rank[order[:-1]]
-    group = np.cumsum(first) - 1
-    page = np.array(keys, dtype=np.int64)[owner_[order]]
-    low, high = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max), np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).min)
-    np.minimum.at(low, group, page)
-    np.maximum.at(high, group, page)
-    run = np.zeros(len(order), np.uint64)
-    for k in range(length):
-        run = run * np.uint64(0x9E3779B97F4A7C15) + codes_[order + k].astype(np.uint64)
-        run ^= run >> np.uint64(29)
-    return list(zip(page.tolist(), place_[order].tolist(), run.astype(np.int64).tolist(), (low != high)[group].tolist(), strict=True))
+    codes = np.concatenate([np.array([*[hashes.setdefault(w, xxhash.xxh64_intdigest(w) >> 1) for w in words], -1 - k], np.int64) for k, words in enumerate(streams)])
+    sizes = np.array([len(x) + 1 for x in streams])
+    owner = np.repeat(np.unique(np.array(pages, np.int64), return_inverse=True)[1], sizes)
+    order, shared = suffix_array(codes)
+    page = owner[order]
+    found = np.zeros(len(codes), np.int64)
+    for backwards in (False, True):
+        # The nearest neighbour of another page: the least of what is shared on the way to it.
+        p = page[::-1] if backwards else page
+        link = np.concatenate([[0], shared[1:][::-1]]) if backwards else shared
+        starts = np.concatenate([[True], p[1:] != p[:-1]])
+        least = running_least(link, starts)
+        place = order[::-1] if backwards else order
+        found[place] = np.maximum(found[place], least)
+    return np.split(found, np.cumsum(sizes)[:-1])
+
+
+def maximal_runs(lengths: np.ndarray, least: int = RUN) -> list[tuple[int, int]]:
+    """(first word, end) of the runs of a stream that no longer one takes in."""
+    ends = np.arange(len(lengths)) + lengths
+    reach = np.concatenate([[0], np.maximum.accumulate(ends)[:-1]])
+    at = np.flatnonzero((lengths >= least) & (ends > reach))
+    return list(zip(at.tolist(), ends[at].tolist(), strict=True))
+
+
+def runs_of(keys: list[int], pages: list[int], streams: list[list[str]], length: int = RUN) -> list[tuple[int, int, int]]:
+    """(key, place, run) of the windows of ``length`` words in the maximal runs of some streams."""
+    out = []
+    for key, words, lengths in zip(keys, streams, shared_lengths(streams, pages), strict=True):
+        codes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        for at, end in maximal_runs(lengths, length):
+            places = np.arange(at, end - length + 1)
+            run = np.zeros(len(places), np.uint64)
+            for k in range(length):
+                run = run * np.uint64(0x9E3779B97F4A7C15) + codes[places + k]
+                run ^= run >> np.uint64(29)
+            out += zip([key] * len(places), places.tolist(), run.astype(np.int64).tolist(), strict=True)
+    return list(dict.fromkeys(out))
 
 
 def short_blocks(texts: list[str]) -> list[tuple[int, int]]:
@@ -259,18 +287,18 @@ def short_blocks(texts: list[str]) -> list[tuple[int, int]]:
 
 
 def streamed(pages: DataFrame) -> DataFrame:
-    """``pages`` with the texts of their streams, and a hash of these: same."""
-    outside = F.filter(F.arrays_zip("roles", "texts"), lambda b: b["roles"] != MAIN)["texts"]
-    return pages.withColumn("stream", outside).withColumn("same", F.xxhash64("stream"))
+    """``pages`` with a hash of their streams: same."""
+    return pages.withColumn("same", F.xxhash64("texts"))
 
 
 def repeated(pages: DataFrame) -> DataFrame:
     """host, same and the places in that stream where a run of the host begins.
 
-    The groups of a host hold about ``PAGES`` different streams each, so a host
-    of any size is spread over many tasks.
+    The groups of a host hold about ``PAGES`` different streams each, and are dealt
+    by host and group, so a host of any size is spread over many tasks.
     """
-    streams = streamed(pages).where("size(stream) > 0").select("host", "url", "same", "stream")
+    open_hosts = written(pages.where(F.array_contains("roles", OPEN)).select("host").distinct(), "open-hosts")
+    streams = streamed(pages.where("size(texts) > 0").join(sized(open_hosts), "host", "left_semi")).select("host", "url", "same", F.col("texts").alias("stream"))
     first = streams.where("url is not null").groupBy("host", "url").agg(F.min("same").alias("page"), F.max("same").alias("last")).where("page <> last")
     first = written(first.select("host", "url", "page"), "addresses")
     once = streams.join(sized(first), ["host", "url"], "left").groupBy("host", "same").agg(F.min(F.coalesce("page", "same")).alias("page"), F.first("stream").alias("stream"))
@@ -282,13 +310,13 @@ def repeated(pages: DataFrame) -> DataFrame:
         host = table.column("host")[0].as_py()
         texts = dict(zip(table.column("same").to_pylist(), table.column("stream").to_pylist(), strict=True))
         page = dict(zip(texts, table.column("page").to_pylist(), strict=True))
-        found = [x[:3] for x in runs_of(list(texts), [" ".join(t).split(" ") for t in texts.values()], RUN)]
+        found = runs_of(list(texts), list(page.values()), [" ".join(t).split(" ") for t in texts.values()], RUN)
         found += [(k, *x) for k, t in texts.items() for x in short_blocks(t)]
         same, place, runs = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table({"host": pa.array([host] * len(found), pa.string()), "same": pa.array(same, pa.int64()), "page": pa.array([page[k] for k in same], pa.int64()), "place": pa.array(place, pa.int32()), "run": pa.array(runs, pa.int64())})
 
-    runs = dealt.select("host", "group", "same", "page", "stream").groupBy("host", "group").applyInArrow(run, "host string, same long, page long, place int, run long")
-    runs = written(runs, "runs")
+    dealt = dealt.select("host", "group", "same", "page", "stream").repartition(partitions_for(once), "host", "group")
+    runs = written(dealt.groupBy("host", "group").applyInArrow(run, "host string, same long, page long, place int, run long"), "runs")
     counted = runs.select("host", "run", "page").distinct().groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW)
     everywhere = counted.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "run")
     return runs.join(everywhere, ["host", "run"]).groupBy("host", "same").agg(F.collect_set("place").alias("places"))
@@ -300,15 +328,15 @@ def kept_blocks(roles: list[int], texts: list[str], places: list[int] | None) ->
     covered = {p + i for p in starts if p >= 0 for i in range(RUN)}
     out, at, words = [], 0, 0
     for r, t in zip(roles, texts, strict=True):
-        if r == MAIN:  # not in the stream
-            out.append((r, t))
-            continue
         end = at + t.count(" ") + 1
-        # A run that comes in from another block counts only if it takes in this one whole.
-        inside = {p + i for p in range(at, end - RUN + 1) if p in starts for i in range(RUN)}
-        if r == OPEN and -1 - at not in starts and len(inside) < COVERED * (end - at) and not all(i in covered for i in range(at, end)):
+        if r == MAIN:
             out.append((r, t))
-            words += end - at
+        elif r == OPEN:
+            # A run that comes in from another block counts only if it takes in this one whole.
+            inside = {p + i for p in range(at, end - RUN + 1) if p in starts for i in range(RUN)}
+            if -1 - at not in starts and len(inside) < COVERED * (end - at) and not all(i in covered for i in range(at, end)):
+                out.append((r, t))
+                words += end - at
         at = end
     beside = MAIN not in roles or words >= RUN
     return [t for r, t in out if r == MAIN or beside]

@@ -324,12 +324,54 @@ def test_html_body_beside_articles(spark):
     assert hosted(spark, pages) == [f"Head {i}\n" + "read this too\n" * (i % 2) + x for i, x in enumerate(body)]
 
 
+def test_suffix_array_against_sorting():
+    rng = np.random.RandomState(3)
+    for n in (1, 2, 50, 400):
+        codes = np.append(rng.randint(0, 3, n), -1)
+        order, shared = html_text.suffix_array(codes)
+        suffixes = [tuple(codes[i:].tolist()) for i in range(n + 1)]
+        assert order.tolist() == sorted(range(n + 1), key=suffixes.__getitem__)
+        for a, b, k in zip(order, order[1:], shared[1:], strict=False):
+            x, y = suffixes[a], suffixes[b]
+            assert x[:k] == y[:k] and x[k : k + 1] != y[k : k + 1]
+
+
+def test_runs_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(20):
+        streams = [[rng.choice("abc") for _ in range(rng.randint(1, 40))] for _ in range(6)]
+        pages = [0, 1, 1, 2, 3, 3]
+        lengths = html_text.shared_lengths(streams, pages)
+        for k, words in enumerate(streams):
+            for i in range(len(words)):
+                best = 0
+                for j, other in enumerate(streams):
+                    if pages[j] != pages[k]:
+                        for at in range(len(other)):
+                            n = 0
+                            while i + n < len(words) and at + n < len(other) and words[i + n] == other[at + n]:
+                                n += 1
+                            best = max(best, n)
+                assert lengths[k][i] == best
+            for a, b in html_text.maximal_runs(lengths[k], 3):
+                assert b - a >= 3 and not any(x <= a and b <= y and (x, y) != (a, b) for x, y in html_text.maximal_runs(lengths[k], 1))
+
+
 def test_suffix_runs():
     streams = ["a b c d e f".split(), "x a b c d e y".split(), "a b c".split(), "q q q q q q q".split()]
-    found = html_text.runs_of([1, 2, 3, 4], streams, 5)
-    assert {(k, p) for k, p, _, repeats in found if repeats} == {(1, 0), (2, 1)}
-    assert len(found) == 2 + 3 + 3
-    assert html_text.runs_of([1], [["a"]], 5) == []
+    found = html_text.runs_of([1, 2, 3, 4], [1, 2, 3, 4], streams, 5)
+    assert {(k, p) for k, p, _ in found} == {(1, 0), (2, 1)} and len({r for _, _, r in found}) == 1
+    assert html_text.runs_of([1], [1], [["a"]], 5) == []
+
+
+def test_html_runs_decide_rows(spark):
+    """Of pages that declare nothing, what the runs take away; of declared ones, nothing."""
+    notice = " ".join(f"notice{k}" for k in range(30))
+    own = [" ".join(f"o{i}x{k}" for k in range(25)) for i in range(8)]
+    bare = [(f"http://r.example/{i}", f"<p>{x}</p><p>{notice}</p>") for i, x in enumerate(own)]
+    assert hosted(spark, bare) == own
+    declared = [(u, f"<article>{h}</article>") for u, h in bare]
+    assert hosted(spark, declared) == [f"{x}\n{notice}" for x in own]
 
 
 def test_trees_and_calibration():
