@@ -96,6 +96,22 @@ def test_exact_over_batches(spark, copies):
     assert {r.doc_id for r in rows if r.kept} == {max(m) for m in groups(copies).values()}
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1)], ids=["whole", "weak"])
+def test_exact_state_outlives_a_call(spark, copies, digest, tmp_path):
+    """The second call hits what the first has seen, by content where digests collide."""
+    state = f"file://{tmp_path}/state"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = exact_dedup.exact_groups(frame(copies[:6]), digest, state=state).collect()
+    later = [*copies[6:], (11, "ABC"), (12, "new one"), (0, None)]
+    second = exact_dedup.exact_groups(frame(later), digest, state=state).collect()
+    for rows, seen in ((first, copies[:6]), (second, copies[:6] + later)):
+        held = {i: m for m in groups(seen).values() for i in m}
+        for r in rows:
+            assert (r.keep_id, r.group_size, r.kept) == (max(held[r.doc_id]), len(held[r.doc_id]), r.doc_id == max(held[r.doc_id]))
+    assert sorted(r.doc_id for r in second) == sorted(i for i, _ in later)
+    assert exact_dedup.exact_groups(frame([(13, "abc")]).where("false"), digest, state=state).count() == 0
+
+
 def test_exact_ties_nulls_and_empty(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (None, "A", "y"), (None, "b", "z"), (2, "c", None)], DOCS)
     rows = exact_dedup.exact_groups(df).collect()
