@@ -3,6 +3,13 @@ personal data is redacted; what is left is packed into sequences.
 
 Each stage reads what its predecessor kept and is written before the next one.
 SQL cannot express the stages, so the result is tested against a plain version.
+
+Edge cases, for every stage: null and empty texts are one empty text (its row of
+the largest id stays, a null id is the least); very long texts are read whole; of
+rows that repeat with one id and text one stays; rows of one id and several texts
+are judged by their texts; near copies leave the row of the least id; an empty
+table gives an empty one; other columns are kept as they are, whatever their
+names, up to packing, which returns pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import exact_dedup, near_join, packing, pii, toxicity
-from quillon.llm.common import table, written
+from quillon.llm.common import made, release, table, work_path, written
+
+__all__ = ["ORACLE_SQL", "STAGES", "run", "written"]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +43,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """The workers still hold what other stages keep, so the cache of words is smaller here."""
+    return packing.pack_documents(docs, cache_words=150_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -49,10 +59,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's rows are written and read again.
+
+    Once a stage is written, the work folders of its making, and the rows of the
+    stage before, are removed.
+    """
+    docs, since = table(spark, sf_dir, "documents"), made()
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = written(docs, name)
+            path, shape = work_path(spark, name), docs.schema
+            docs.write.parquet(path)
+            docs = spark.read.schema(shape).parquet(path)
+            release(spark, since, keep=path)
     return docs

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions_for, text_of
-from .tokens import word_encoder
+from .tokens import CACHE_WORDS, word_encoder
 
 CAPACITY = 4096
 #: Documents of a group, on average.
@@ -96,7 +96,7 @@ def topped_up(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[lis
     return [b for _, b in filled if b]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, seed: int = SEED) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, seed: int = SEED, cache_words: int = CACHE_WORDS) -> DataFrame:
     """One row a piece; sequence_id names a sequence, offset is the place there."""
     bounded_batches(docs.sparkSession)
     groups = max(1, -(-docs.select(F.count(F.lit(1))).first()[0] // group))
@@ -119,7 +119,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         """Rows come sorted by group; one group is held at a time, as ids, and a crowded one in parts."""
-        model, number, sequence = word_encoder(tokenizer), None, 0
+        model, number, sequence = word_encoder(tokenizer, cache_words), None, 0
         doc_ids: list[int | None] = []
         encoded: list[np.ndarray] = []
         held = 0
