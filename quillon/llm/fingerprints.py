@@ -16,8 +16,11 @@ its mark if the bin is empty.
 Edge cases: null counts as empty; texts without words have the fingerprint of
 zeros, like one another and unlike others; ``doc_id`` null comes after all
 others in the descending order; rows of one ``doc_id`` are ordered by length and
-hash; the only document is its own next; an empty table gives no rows; other
-columns are not read.
+hash; the only document is its own next; repeated rows each give a row, with equal
+fingerprints; very long texts are hashed whole (a text's array of words is in one
+row); an empty table gives no rows; other columns are not read, whatever their
+names.  Ids that stand on very many rows, or null ids, are one range, which one task
+orders.
 """
 
 from __future__ import annotations

@@ -6,9 +6,11 @@ the next free slot of its preference order, until the table is full.  The table
 has a fixed size, whatever the data, and is broadcast; placing a row is one hash
 and one lookup.  Adding or removing a shard moves little more than its share.
 
-Edge cases: a null key hashes as the text ``\\0null``; equal keys share a shard;
-an empty table gives no rows; columns named slot or shard are replaced only in
-the result of ``place`` and the others are kept.
+Edge cases: a null key hashes as the text ``\\0null``, an empty one as itself; very
+long keys are hashed whole; equal keys, and so repeated rows, share a shard; shards
+claim in the order in which they are named, so there are no ties; an empty table
+gives no rows; columns named slot or shard are replaced only in the result of
+``place`` and the others are kept.
 """
 
 from __future__ import annotations

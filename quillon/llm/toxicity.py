@@ -10,8 +10,10 @@ for fitting, chosen by a hash of the id; all documents are scored, whole.
 Rows whose crc32(doc_id as text) mod 3 is 1 are held out and never learned from.
 doc_id, lang and source are not inputs of a score.
 
-Edge cases: null counts as empty, and empty texts get a score; a null label is
-no label; of several labels of a document the largest counts; without labels of
+Edge cases: null counts as empty, and empty texts get a score; very long texts are
+read whole; equal texts, and so repeated rows, have equal scores; a score that is
+exactly the threshold is predicted toxic; a null label is no label; of several
+labels of a document the largest counts; without labels of
 both kinds all scores are the base rate; an empty table gives no rows; other
 columns are kept by ``keep_clean``.
 """
