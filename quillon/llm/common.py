@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only if its files have at most so many bytes, and its counted rows are at most so many.
 BROADCAST_BYTES, BROADCAST_ROWS = 48 << 20, 1_000_000
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
