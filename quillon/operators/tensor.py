@@ -182,5 +182,6 @@ def integral(df: DataFrame, value: str) -> bool:
 def array_normalised(df: DataFrame, value: str = "x") -> DataFrame:
     """Each row's vector over its length, in place; a zero vector stays as it is."""
     length = F.sqrt(F.aggregate(F.transform(value, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, b: a + b))
-    rows = df.withColumn("__l", length)
-    return rows.withColumn(value, F.transform(value, lambda x: F.when(F.col("__l") > 0, x / F.col("__l")).otherwise(x.cast("double")))).drop("__l")
+    # Bound once for a row; as a column it would be made again for every value.
+    over = F.transform(F.array(length), lambda l: F.transform(value, lambda x: F.when(l > 0, x / l).otherwise(x.cast("double"))))[0]
+    return df.withColumn(value, over)
