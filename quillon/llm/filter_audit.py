@@ -32,14 +32,14 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, text_of, written
+from .common import text_of, written
 
 NAMES = "ABCDE"
 DUPLICATE = 1 << NAMES.index("E")
 #: Bytes of text that a task keeps in its chains before it sends them on.
 CHAIN_BYTES = 32 << 20
-#: Bytes of files for each partition of fingerprints.
-EACH = 8 << 20
+#: Bytes of text for each partition of fingerprints, which holds the different ones among them.
+EACH = 32 << 20
 #: An odd factor that spreads ids over partitions.
 SPREAD = 0x9E3779B97F4A7C15
 Counts = Iterable[tuple[tuple[str, int], int]]
@@ -130,12 +130,18 @@ def met_texts(rows: Iterable[tuple[int, tuple]]) -> Iterator[tuple[int | None, s
     yield from ((i, part, mask, n) for _, _, i, counts in texts for (part, mask), n in counts.items())
 
 
+def partitions_of(docs: DataFrame) -> int:
+    """Partitions of fingerprints by the bytes that texts have when they are read; files are packed, so their sizes do not say."""
+    total = docs.agg(F.sum(F.octet_length(text_of()).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // EACH))
+
+
 def masks(docs: DataFrame, part: str = "source", fingerprint: Column | None = None) -> DataFrame:
     """doc_id, part, mask and the number n of such rows, over all of ``docs``."""
     key = F.xxhash64(text_of()) if fingerprint is None else fingerprint
     rows = docs.select(key.alias("p"), F.col("doc_id").cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_of().alias("text"))
     keyed: RDD = rows.rdd.map(tuple).mapPartitions(read_texts)
-    found = keyed.partitionBy(partitions_for(docs, EACH), lambda p: p).mapPartitions(met_texts)
+    found = keyed.partitionBy(partitions_of(docs), lambda p: p).mapPartitions(met_texts)
     return docs.sparkSession.createDataFrame(found, "doc_id long, part string, mask int, n long", verifySchema=False)
 
 
