@@ -15,7 +15,7 @@ that is known not to be the least goes on without its text, routed by its own ha
 Edge cases: a null or empty text is one empty text; very long texts are compared and
 counted whole; a null ``doc_id`` is smaller than all others; rows that share the least
 id of a text are not failing; a null part is the empty string; of labels that repeat
-for an id, any that says so counts; an empty table gives no rows; other columns are
+for an id, any that says so counts, and a null id has none; an empty table gives no rows; other columns are
 not read.
 """
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import permutations
 
 import numpy as np
@@ -91,8 +91,8 @@ class Chains:
         for (part, mask), n in rows:
             self.more[doc_id, part, mask | DUPLICATE] += n
 
-    def full(self) -> bool:
-        return self.bytes + 200 * len(self.more) > CHAIN_BYTES
+    def size(self) -> int:
+        return self.bytes + 200 * len(self.more)
 
     def emptied(self) -> tuple[Iterator[tuple[int, bytes, int | None, Counter]], Iterator[tuple[int | None, str, int, int]]]:
         """The texts that are held, and the rows that are not of a least id; then nothing is held."""
@@ -101,7 +101,7 @@ class Chains:
         return ((p, *link) for p, chain in held.items() for link in chain), ((*key, n) for key, n in more.items())
 
 
-def read_texts(rows: Iterable[tuple]) -> Iterator[tuple[int, tuple]]:
+def read_texts(rows: Iterable[tuple], most: int) -> Iterator[tuple[int, tuple]]:
     """Rows (fingerprint, doc_id, part, text), keyed: (fingerprint, text, doc_id, counts), or (None, doc_id, part, mask, n) where the text is no more needed."""
     chains = Chains()
 
@@ -112,7 +112,7 @@ def read_texts(rows: Iterable[tuple]) -> Iterator[tuple[int, tuple]]:
 
     for print_, doc_id, part, text in rows:
         chains.add(print_, text.encode(), doc_id, [((part, text_mask(text)), 1)])
-        if chains.full():
+        if chains.size() > most:
             yield from sent()
     yield from sent()
 
@@ -136,11 +136,11 @@ def partitions_of(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // EACH))
 
 
-def masks(docs: DataFrame, part: str = "source", fingerprint: Column | None = None) -> DataFrame:
+def masks(docs: DataFrame, part: str = "source", fingerprint: Column | None = None, chain_bytes: int = CHAIN_BYTES) -> DataFrame:
     """doc_id, part, mask and the number n of such rows, over all of ``docs``."""
     key = F.xxhash64(text_of()) if fingerprint is None else fingerprint
     rows = docs.select(key.alias("p"), F.col("doc_id").cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_of().alias("text"))
-    keyed: RDD = rows.rdd.map(tuple).mapPartitions(read_texts)
+    keyed: RDD = rows.rdd.map(tuple).mapPartitions(partial(read_texts, most=chain_bytes))
     found = keyed.partitionBy(partitions_of(docs), lambda p: p).mapPartitions(met_texts)
     return docs.sparkSession.createDataFrame(found, "doc_id long, part string, mask int, n long", verifySchema=False)
 
@@ -192,8 +192,8 @@ def audited(item: tuple[str, np.ndarray]) -> Iterator[tuple]:
         yield (part, *name, *row)
 
 
-def audit(docs: DataFrame, labels: DataFrame, part: str = "source", fingerprint: Column | None = None) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, part: str = "source", fingerprint: Column | None = None, chain_bytes: int = CHAIN_BYTES) -> DataFrame:
     """A row for each part, order of filters and step: what the filter at that step does there."""
-    found = written(masks(docs, part, fingerprint), "audit-masks")
+    found = written(masks(docs, part, fingerprint, chain_bytes), "audit-masks")
     counts = vectors(labelled(found, labels)).flatMap(audited)
     return docs.sparkSession.createDataFrame(counts, COUNTS, verifySchema=False)
