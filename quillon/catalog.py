@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .functions import hashing
 from .operators import kernels, layout, metrics, tensor
 from .plans import workloads as w
-from .sources import generators
+from .plans.work import new_path
+from .sources import csr_binary, generators, market_format
+from .sources.matrix_market import Kind
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,7 +63,7 @@ def spmm_fwd_coordinate(spark, d):
 
 @query(FORWARD)
 def blocked_fwd(spark, d):
-    return kernels.tiled(w.parts(spark, d), w.vectors(spark, d), "long", kb=16, cb=16, nb=160)
+    return kernels.tiled(w.parts(spark, d), w.vectors(spark, d), "long", kb=16, cb=16, nb=160, most=256)
 
 
 @query(BACKWARD)
@@ -81,7 +83,7 @@ def spmm_bwd_scatter(spark, d):
 
 @query(BACKWARD)
 def blocked_bwd(spark, d):
-    back = kernels.tiled(w.parts(spark, d).transposed(), w.grad_vectors(spark, d), "long", kb=16, cb=16, nb=160)
+    back = kernels.tiled(w.parts(spark, d).transposed(), w.grad_vectors(spark, d), "long", kb=16, cb=16, nb=160, most=256)
     return back.select("n", F.col("k").alias("c"), F.col("o").alias("d"))
 
 
@@ -132,7 +134,8 @@ def spmv(spark, d):
 
 @query("SELECT n, sum(x * (c % 5 - 2))::BIGINT AS y FROM cells GROUP BY n")
 def gemv(spark, d):
-    return w.vectors(spark, d).select("n", F.aggregate(F.transform("x", lambda x, i: x * (i % 5 - 2)), F.lit(0).cast("long"), lambda a, b: a + b).alias("y"))
+    a = w.vectors(spark, d)
+    return kernels.gemv(a, layout.axis(a, w.WIDTH, "c").withColumn("x", F.col("c") % 5 - 2), w.WIDTH)
 
 
 # Layouts
@@ -217,7 +220,13 @@ def idxmap_repeats(spark, d):
 
 @query("SELECT k, (row_number() OVER (PARTITION BY k ORDER BY c) - 1)::BIGINT AS i, c FROM trade")
 def kidx(spark, d):
-    return layout.expand_rows(layout.csr_rows(w.trade(spark, d)))
+    return layout.row_places(w.trade(spark, d))
+
+
+@query("SELECT k, i // 100 AS piece, list(c ORDER BY c) AS cols, list(v ORDER BY c) AS vals FROM (SELECT k, c, v, row_number() OVER (PARTITION BY k ORDER BY c) - 1 AS i FROM trade) GROUP BY ALL")
+def csr_pieces(spark, d):
+    """Rows of more than a hundred entries are several arrays."""
+    return layout.csr_pieces(w.trade(spark, d), 100)
 
 
 @query("SELECT k // 16 AS kb, c // 32 AS cb, count(*) AS nnz FROM trade GROUP BY ALL")
@@ -254,7 +263,26 @@ def tile_pack(spark, d):
 
 @query("SELECT c AS n, n AS c, x FROM cells")
 def dense_transpose(spark, d):
-    return w.cells(spark, d).select(F.col("c").alias("n"), F.col("n").alias("c"), "x")
+    return layout.dense_transposed(w.cells(spark, d))
+
+
+# Files
+
+
+@query("SELECT k, c FROM trade")
+def csr_binary_trip(spark, d):
+    """The structure of the trade as one binary file, written by all tasks and read in ranges."""
+    path = f"{new_path(spark, 'trade')}.bin"
+    csr_binary.write(w.trade(spark, d), path)
+    return csr_binary.read(spark, path, each=1 << 16).df.select("k", "c")
+
+
+@query("SELECT k, c, v::DOUBLE AS v FROM trade")
+def matrix_market_trip(spark, d):
+    """The trade as MatrixMarket text, written and read by its data source."""
+    path = f"{new_path(spark, 'trade')}.mtx"
+    market_format.write(w.trade(spark, d), path, Kind.integer)
+    return market_format.read(spark, path, each=1 << 20).df
 
 
 # Tensors

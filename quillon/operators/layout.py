@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import floor_div as div
 from ..matrix import Matrix, ShapeError
+from .ranks import ranked
 
-#: Rows of a matrix in a block of a running sum, and parts that a row is cut into for ranking.
-SPAN, PARTS = 65_536, 64
+#: Rows of a matrix in a block of a running sum, and entries in a piece of a row.
+SPAN = 65_536
 
 
 def axis(df: DataFrame, n: int, name: str) -> DataFrame:
@@ -38,7 +39,10 @@ def running(df: DataFrame, key: str, values: dict[str, Column], span: int = SPAN
 
 
 def csr_rows(m: Matrix) -> DataFrame:
-    """k, cols, vals of every row that has entries, columns ascending; repeats are kept."""
+    """k, cols, vals of every row that has entries, columns ascending; repeats are kept.
+
+    A row is one array; ``csr_pieces`` cuts crowded ones.
+    """
     rows = m.df.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("e"))
     return rows.select("k", F.col("e.c").alias("cols"), F.col("e.v").alias("vals"))
 
@@ -65,20 +69,8 @@ def renumbered(m: Matrix) -> DataFrame:
 
 
 def positioned(m: Matrix, name: str = "pos", ties: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Entries with their place in row-major order, repeats one after the other.
-
-    A place is the row's start, the entries in the parts of the row before, and the
-    rank in the part; a row is cut into ``PARTS`` parts, so no task ranks a whole
-    crowded one.
-    """
-    entries = m.df.withColumn("__p", div(F.col("c"), max(1, -(-m.cols // PARTS))))
-    parts = entries.groupBy("k", "__p").agg(F.count(F.lit(1)).alias("__n"))
-    starts = running(parts.groupBy("k").agg(F.sum("__n").alias("n")), "k", {"__start": F.col("n")}).select("k", "__start")
-    before = F.coalesce(F.sum("__n").over(earlier(Window.partitionBy("k").orderBy("__p"))), F.lit(0))
-    parts = parts.select("k", "__p", before.alias("__before")).join(starts, "k")
-    rank = F.row_number().over(Window.partitionBy("k", "__p").orderBy("c", *ties)) - 1
-    ranked = entries.withColumn("__r", rank).join(parts, ["k", "__p"])
-    return ranked.select(*m.df.columns, (F.col("__start") + F.col("__before") + F.col("__r")).cast("long").alias(name))
+    """Entries with their place in row-major order, repeats one after the other."""
+    return ranked(m.df, ["k", "c", *ties], name)
 
 
 def transpose_map(m: Matrix) -> DataFrame:
@@ -87,8 +79,19 @@ def transpose_map(m: Matrix) -> DataFrame:
     Entries carry their place into the other order, so repeats stay apart and
     nothing is joined to itself.
     """
-    there = Matrix(positioned(m).select(F.col("c").alias("k"), F.col("k").alias("c"), "pos", "v"), m.cols, m.rows)
-    return positioned(there, "pos_t", ("pos",)).select("pos_t", "pos")
+    return ranked(positioned(m).select("c", "k", "pos"), ["c", "k", "pos"], "pos_t").select("pos_t", "pos")
+
+
+def row_places(m: Matrix) -> DataFrame:
+    """k, i, c: the entries with their place in the row; no row is held by a task."""
+    return ranked(m.df.select("k", "c"), ["k", "c"], group="k", inside="i").select("k", "i", "c")
+
+
+def csr_pieces(m: Matrix, most: int = SPAN) -> DataFrame:
+    """k, piece, cols, vals: rows as arrays, cut to pieces of ``most`` entries, columns ascending."""
+    rows = ranked(m.df.select("k", "c", "v"), ["k", "c", "v"], group="k", inside="i").groupBy("k", div("i", most).alias("piece"))
+    found = rows.agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("e"))
+    return found.select("k", "piece", F.col("e.c").alias("cols"), F.col("e.v").alias("vals"))
 
 
 def first_inserted(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -112,6 +115,12 @@ def densified(m: Matrix) -> DataFrame:
     return grid.join(m.coalesced().df, ["k", "c"], "left").select("k", "c", F.coalesce("v", F.lit(0)).alias("v"))
 
 
+def dense_transposed(dense: DataFrame) -> DataFrame:
+    """Cells (n, c, x) with n and c swapped; no data moves."""
+    names = {"n": "c", "c": "n"}
+    return dense.select(*[F.col(names.get(x, x)).alias(x) for x in dense.columns])
+
+
 def sampled(dense: DataFrame, structure: Matrix) -> DataFrame:
     """The values of a dense relation (k, c, v) where the structure has entries."""
     return dense.join(structure.df.select("k", "c").distinct(), ["k", "c"], "left_semi")

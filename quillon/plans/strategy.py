@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Rows of a matrix that a step of a blocked product may have, and the bytes of one of its arrays.
 BLOCKED_ROWS, STEP_BYTES = 4_000_000, 16 << 20
+#: Entries of a part of a sparse side, and bytes of the vectors of a group.
+PART_ENTRIES, CELL_BYTES = 1 << 18, 64 << 20
 #: Bytes of a side that is broadcast.
 BROADCAST_BYTES = 256 << 20
 
@@ -22,8 +24,3 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     found = df.agg(F.count(F.lit(1)).alias("__n"), *values).first()
     size = 8 * (len(df.columns) * found["__n"] + sum(found[v] or 0 for v in df.columns if v in found.asDict()))
     return F.broadcast(df) if found["__n"] <= most and size <= BROADCAST_BYTES else df
-
-
-def pick(nnz: int, most: int = BROADCAST_ROWS) -> str:
-    """``blocked`` where the sparse side can be collected, else ``tiled``."""
-    return "blocked" if nnz <= most else "tiled"

@@ -5,16 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
 from ..matrix import Matrix
 from ..operators.layout import block_expanded, csr_rows, rebased, renumbered, symmetric
-
-
-class FormatError(ValueError):
-    """A file that is not what its banner says, or has no banner."""
+from .files import FormatError, place
 
 
 class Kind(str, Enum):
@@ -136,9 +134,14 @@ def read(spark: SparkSession, path: str, force_symmetric: bool = False, seed: in
 
 
 def read_csr(spark: SparkSession, path: str, force_symmetric: bool = False) -> DataFrame:
-    """k, cols, vals: from the binary form if the suffix is ``bin``, else from text."""
-    m = read_binary(spark, path) if path.rstrip("/").rpartition(".")[2] == "bin" else read(spark, path, force_symmetric)
-    return csr_rows(m)
+    """k, cols, vals: from a binary form if the suffix is ``bin`` (Parquet if it is a folder), else from text."""
+    from . import csr_binary
+
+    if path.rstrip("/").rpartition(".")[2] != "bin":
+        return csr_rows(read(spark, path, force_symmetric))
+    system, name = place(path)
+    whole = system.get_file_info(name).type == fs.FileType.File
+    return csr_rows(csr_binary.read(spark, path) if whole else read_binary(spark, path))
 
 
 def first_rows(rows: DataFrame, n: int) -> DataFrame:

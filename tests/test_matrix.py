@@ -220,3 +220,92 @@ def test_listing_and_pairs(spark):
     events = [("a", 1, "begin"), ("a", 25, "end"), ("a", 26, "end"), ("b", 3, "begin"), ("b", 95, "end"), ("b", 99, "begin"), ("b", 99, "end")]
     got = metrics.paired(spark.createDataFrame(events, "label string, at long, kind string"), span=10).collect()
     assert sorted(tuple(r) for r in got) == [("a", 24, False), ("b", 0, True), ("b", 92, True)]
+
+
+ODD = [(0, [1, 2, 3, 4]), (7, [0, 1, 0, -1]), (7, [5, None, 1, 1]), (7, [5, None, 1, 1]), (None, [1, 1, 1, 1]), (None, [2, 0, 0, 0]), (9, [None] * 4)]
+
+
+def plain_products(entries, rows, vectors):
+    """Every vector by itself, repeats summed, nulls as 0."""
+    out = []
+    for n, x in vectors:
+        o = [0] * rows
+        for k, c, v in entries:
+            o[k] += (v or 0) * (x[c] or 0)
+        out += [(str(n), k, v) for k, v in enumerate(o)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+@pytest.mark.parametrize("strategy", [None, *FORMS])
+def test_all_forms_give_the_same_rows(spark, strategy, kind):
+    entries = [*ENTRIES, (0, 2, 7), (2, 3, None), (2, 3, 5)]
+    w = Matrix(spark.createDataFrame(entries, "k long, c long, v long").selectExpr("k", "c", f"cast(v as {kind}) as v"), 4, 4)
+    x = spark.createDataFrame(ODD, "n long, x array<long>").selectExpr("n", f"cast(x as array<{kind}>) as x").repartition(3)
+    got = sorted((str(r.n), r.k, r.o) for r in kernels.forward(w, x, strategy).collect())
+    assert got == plain_products(entries, 4, ODD)
+    for bad in [(None, 0, 1), (0, None, 1), (4, 0, 1), (0, -1, 1)]:
+        with pytest.raises(Exception, match="ShapeError"):
+            kernels.forward(Matrix(w.df.union(spark.createDataFrame([bad], "k long, c long, v long")), 4, 4), x, strategy).collect()
+
+
+@pytest.mark.parametrize("most, cb", [(3, 4), (3, 2), (1, 3), (1000, 1)])
+def test_parts_of_crowded_rows(spark, most, cb):
+    """A row with half of all entries is several parts, and so are strips; rows without entries are there."""
+    entries = [(5, i % 4, i) for i in range(40)] + [(k, k % 4, 1) for k in range(0, 12, 2)] + [(1, 3, 2), (11, 0, 1)]
+    w = Matrix(spark.createDataFrame(entries, "k long, c long, v long"), 14, 4)
+    x = spark.createDataFrame(ODD, "n long, x array<long>")
+    got = sorted((str(r.n), r.k, r.o) for r in kernels.tiled(w, x, "long", kb=5, cb=cb, nb=2, most=most).collect())
+    assert got == plain_products(entries, 14, ODD)
+    parts = kernels.row_parts(kernels.stored(w, "long"), 14, 5, cb, most).collect()
+    assert max(len(r.c) for r in parts) <= 2 * most
+    if most == 3 and cb == 4:
+        assert sum(r.k[0] == 5 and r.piece >= 0 for r in parts) == 14
+
+
+@pytest.mark.parametrize("strategy, most", [("held", 100), ("grid", 100), ("grid", 2), (None, 3)])
+def test_updates_of_odd_rows(spark, strategy, most):
+    entries = [*ENTRIES, (0, 2, 7), (2, 3, None)]
+    w = Matrix(spark.createDataFrame(entries, "k long, c long, v long"), 4, 4)
+    grads = [(0, [1, 1, 1, 1]), (7, [2, None, -1, 3]), (7, [1, 0, 0, 1]), (None, [9, 9, 9, 9]), (8, [1, 1, 1, 1])]
+    x, g = spark.createDataFrame(ODD, "n long, x array<long>"), spark.createDataFrame(grads, "n long, g array<long>")
+    met = [(a, b) for n, a in ODD for m_, b in grads if n is not None and n == m_]
+    want = sorted((k, c, sum((a[c] or 0) * (b[k] or 0) for a, b in met)) for k, c, _ in entries)
+    assert sorted(map(tuple, kernels.update_vectors(w, x, g, 3, 3, 2, most, strategy).collect())) == want
+    there = lambda df, name, place: df.select("n", F.posexplode(name).alias(place, name))
+    assert sorted(map(tuple, kernels.update(w, there(x, "x", "c"), there(g, "g", "k"), 2, 2, 2, most, strategy).collect())) == want
+    if strategy == "held":
+        with pytest.raises(ShapeError):
+            kernels.update_vectors(w, x, g, most=2, strategy="held")
+
+
+def test_grids_have_cells_for_all_tasks(spark):
+    """Few columns and many vectors: the vectors are dealt to groups, so more than one task has rows."""
+    w = Matrix(spark.range(640).selectExpr("id % 10 as k", "id % 64 as c", "id as v"), 10, 64)
+    x = spark.range(4000).selectExpr("id as n", "transform(sequence(0, 63), c -> c + id) as x")
+    out = kernels.tiled(w, x, "long", most=10_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join what is as small as here
+    try:
+        assert out.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1 and out.count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_dense_matrix_times_vector(spark):
+    a, x = spark.createDataFrame(ODD, "n long, x array<long>"), spark.createDataFrame([(0, 2), (3, -1), (3, 1), (1, None)], "c long, x long")
+    want = sorted((str(n), 2 * (v[0] or 0)) for n, v in ODD)
+    assert sorted((str(r.n), r.y) for r in kernels.gemv(a, x, 4).collect()) == want
+    assert {r.y for r in kernels.gemv(a, x.where("false"), 4).collect()} == {0}
+    import quillon.operators.kernels as module
+
+    held, module.BROADCAST_ROWS = module.BROADCAST_ROWS, 1
+    try:
+        assert sorted((str(r.n), r.y) for r in kernels.gemv(a, x.where("c <> 3"), 4).collect()) == want
+    finally:
+        module.BROADCAST_ROWS = held
+
+
+def test_pieces_of_rows(spark, m):
+    got = {(r.k, r.piece): (r.cols, r.vals) for r in layout.csr_pieces(m, 1).collect()}
+    assert got == {(0, 0): ([0], [1]), (0, 1): ([2], [2]), (2, 0): ([0], [3]), (2, 1): ([3], [5]), (3, 0): ([1], [-1]), (3, 1): ([3], [4])}
+    assert sorted(map(tuple, layout.row_places(m).collect())) == [(0, 0, 0), (0, 1, 2), (2, 0, 0), (2, 1, 3), (3, 0, 1), (3, 1, 3)]
