@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,27 +36,33 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Folders that this driver has made, until they are released.
-_made: list[str] = []
+class Folders(threading.local):
+    """Work folders that a thread of this driver has made, until they are released; another thread's are another run's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = Folders()
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    _made.append(f"{work_root(spark)}/{label}-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made.paths.append(f"{work_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made.paths[-1]
 
 
 def made() -> int:
-    """How many work folders there are; those made after can be released."""
-    return len(_made)
+    """How many work folders this thread has made; those made after can be released."""
+    return len(_made.paths)
 
 
 def release(spark: SparkSession, since: int, keep: str | None = None) -> None:
     """Remove work folders, made since then, that no table is read from any more."""
-    paths, conf = _made[since:], spark.sparkContext._jsc.hadoopConfiguration()
-    del _made[since:]
+    paths, conf = _made.paths[since:], spark.sparkContext._jsc.hadoopConfiguration()
+    del _made.paths[since:]
     for path in paths:
         if path == keep:
-            _made.append(path)
+            _made.paths.append(path)
             continue
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)

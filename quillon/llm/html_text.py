@@ -77,6 +77,10 @@ CLOSED = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer com
 #: Parts that may stand beside those words in a name that still means nothing else.
 FILL = frozenset("site main primary secondary global wrap wrapper container box bar widget list links link buttons icons form slot unit posts articles".split())
 
+#: Words for readers' comments, and what more may stand beside them.
+COMMENTS = frozenset("comment comments commentlist reply replies".split())
+OF_READERS = frozenset("section area thread post user users reader readers block wrapper holder".split())
+
 
 def attributes(raw: str) -> tuple[set[str], str]:
     """The names of class and id, and the role."""
@@ -101,7 +105,7 @@ def boiler_words(names: set[str]) -> set[str]:
     for name in names:
         parts = set(re.split("[-_]+", name)) - {""}
         words = parts & (ANYWHERE | OUTSIDE)
-        if words and parts <= words | FILL:
+        if words and parts <= words | FILL | (OF_READERS if words & COMMENTS else set()):
             found |= words
     return found
 

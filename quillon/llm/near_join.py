@@ -308,7 +308,7 @@ def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARIT
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     one = members.select("label", "node", "copies", "high")
-    pairs = verified(with_node(texts.join(sized(one), texts["doc_id"].eqNullSafe(one["high"]))), size, similarity)
+    pairs = verified(with_node(texts, one), size, similarity)
     pairs = written(pairs, "links")
     found = components(pairs.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = pairs.groupBy("node").agg(F.sum("links").alias("links"))
@@ -325,26 +325,22 @@ def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARIT
     return every.select("doc_id", "class_id", "n_links", "node", (F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("low"))).alias("first"))
 
 
-def with_node(rows: DataFrame) -> DataFrame:
-    """Rows whose text has the words of their node, once for each node.
-
-    An id that stands on several different texts finds each of them.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, texts = batch.column("node").to_pylist(), batch.column("text").to_pylist()
-            yield batch.filter(pa.array([node_of(words_of(t)) == n for n, t in zip(nodes, texts, strict=True)], pa.bool_()))
-
-    kept = rows.select("label", "node", "copies", "text").mapInArrow(run, "label binary, node binary, copies long, text string")
-    return kept.dropDuplicates(["node"])
-
-
 @F.arrow_udf(BinaryType())
 def text_node(text: pa.Array) -> pa.Array:
     return pa.array([node_of(words_of(t)) for t in text.to_pylist()], pa.binary())
 
 
+def with_node(texts: DataFrame, one: DataFrame) -> DataFrame:
+    """A text for each node: of the row that has the node's words and its largest id.
+
+    Rows meet nodes by their words, so null ids, or an id on very many texts, meet
+    no others; copies that share an id are combined before they are shuffled.
+    """
+    keyed = texts.withColumn("own", text_node("text"))
+    met = keyed.join(sized(one), (F.col("own") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("high")))
+    return met.select("label", "node", "copies", "text").dropDuplicates(["node"])
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id.
 

@@ -141,5 +141,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
         if doc_ids:
             yield packed(number, sequence, doc_ids, encoded)[0]
 
-    dealt = dealt.select("group", "doc_id", "text").repartition(partitions_for(docs), "group").sortWithinPartitions("group")
+    # The order in a group is set, so a task that runs again cuts and places the same pieces.
+    dealt = dealt.select("group", "doc_id", "text").repartition(partitions_for(docs), "group").sortWithinPartitions("group", "doc_id", F.xxhash64("text"))
     return dealt.mapInArrow(run, PIECE)

@@ -175,8 +175,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, file
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    # Rows of one id have a set order, so that a task that runs again writes the same files.
-    ordered = rows.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Rows of one id (or of none) have a set order, so that a task that runs again writes the same files, and may be many tasks.
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(partitions_for(docs), *order).sortWithinPartitions(*order)
     files = written(ordered.mapInArrow(write, "part long, number long, name string, tokens long"), "token-manifest")
     before = running_sum(files.groupBy("part").agg(F.sum("tokens").alias("n")), "part", "n", "before")
     inside = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)

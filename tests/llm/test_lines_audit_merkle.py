@@ -185,3 +185,51 @@ def test_traversal(n):
     for k, path in enumerate(merkle.traversed(held, levels)):
         assert path == paths[k]
         assert merkle.folded(held[k], path) == root
+
+
+# Mends of earlier operators
+
+
+def test_comments_by_their_names():
+    from quillon.llm.html_text import blocks_of, kept_blocks
+
+    page = "<article><p>Story.</p><div class='comments-section'>a</div><div id=user-comments>b</div><div class='post-comments'>c</div><section class=comments-on-method>yes</section></article>"
+    found = blocks_of(page)
+    assert kept_blocks([r for r, _ in found], [t for _, t in found], None) == ["Story.", "yes"]
+
+
+def test_near_copies_without_ids(spark):
+    """Rows without an id, or of one id, meet nodes by their words: as many rows as there are texts."""
+    from quillon.llm import near_join
+
+    rows = [(None if i % 2 else 5, " ".join(f"w{(i // 4) * 100 + k + (k == 39) * (i % 4)}" for k in range(80))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = near_join.near_classes(docs).collect()
+    assert len(found) == 80 and {r.n_links for r in found} == {3}
+    texts = docs.selectExpr("doc_id", "text")
+    nodes = texts.withColumn("node", near_join.text_node("text")).groupBy("node").agg(F.max("doc_id").alias("high"), F.count("node").alias("copies"))
+    assert near_join.with_node(texts, nodes.withColumn("label", F.col("node"))).count() == 80
+
+
+def test_packing_and_files_whatever_the_order(spark):
+    """Rows that arrive in another order give the same pieces, with null ids and one id on many rows too."""
+    from quillon.llm import packing, token_files
+
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * (i % 40)) for i in range(200)]
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        found.append((sorted(map(str, packing.pack_documents(docs, group=32).collect())), sorted(map(str, token_files.round_trip(docs).collect()))))
+    assert found[0] == found[1]
+
+
+def test_work_folders_of_another_thread_stay(spark):
+    import threading
+
+    from quillon.llm import common
+
+    since, other = common.made(), []
+    thread = threading.Thread(target=lambda: other.append((common.work_path(spark, "x"), common.made())))
+    thread.start()
+    thread.join()
+    assert other[0][1] == 1 and common.made() == since
