@@ -42,6 +42,9 @@ class Folders(threading.local):
     def __init__(self):
         self.paths: list[str] = []
 
+    def __getitem__(self, at: int) -> str:
+        return self.paths[at]
+
 
 _made = Folders()
 
