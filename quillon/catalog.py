@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashing
-from .operators import kernels, layout, metrics, tensor
+from .operators import bloom, kernels, layout, metrics, structure, tensor
+from .plans import tuning
 from .plans import workloads as w
 from .plans.work import new_path
-from .sources import csr_binary, generators, market_format
+from .sources import csr_binary, generators, market_format, tile_store
 from .sources.matrix_market import Kind
+from .streaming import keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +106,27 @@ def blocked_upd(spark, d):
     return kernels.blocked_update(w.parts(spark, d), w.cells(spark, d), w.grads(spark, d), kb=16, cb=16, nb=160)
 
 
+@query(
+    """, z AS (SELECT k, c, v + 2 * u.dv AS v FROM parts JOIN (SELECT k, c, sum(x * g)::BIGINT AS dv FROM parts JOIN cells USING (c) JOIN grads USING (n, k) GROUP BY ALL) u USING (k, c)),
+    s AS (SELECT n, c, sum(v * g)::BIGINT AS d FROM z JOIN grads USING (k) GROUP BY ALL)
+    SELECT e.vec_id AS n, p.c AS c, coalesce(d, 0)::BIGINT AS d FROM embeddings e CROSS JOIN places p LEFT JOIN s ON s.n = e.vec_id AND s.c = p.c"""
+)
+def step_bwd(spark, d):
+    """An update of the values, and the backward product with the new ones, over one structure."""
+    held, values = structure.taken_apart(w.parts(spark, d))
+    values = structure.stepped(values, held.update(w.cells(spark, d), w.grads(spark, d)), 2)
+    return held.backward(values, w.grad_vectors(spark, d))
+
+
+@query(UPDATE)
+def stored_upd(spark, d):
+    """The update from inputs and gradients that are stored as tiles, bucketed alike."""
+    run = uuid.uuid4().hex
+    x = tile_store.store(w.vectors(spark, d), f"tiles_x_{run}", w.WIDTH, nb=160, buckets=8)
+    g = tile_store.store(w.grad_vectors(spark, d), f"tiles_g_{run}", w.SIZES, nb=160, buckets=8)
+    return tile_store.update(w.parts(spark, d), x, g)
+
+
 @query("SELECT a.k AS i, b.k AS j, sum(a.v * b.v)::BIGINT AS v FROM parts a JOIN parts b ON a.c = b.c GROUP BY ALL")
 def gemm_nt(spark, d):
     a = w.parts(spark, d).df.select(F.col("k").alias("i"), F.col("c").alias("j"), "v")
@@ -370,6 +394,17 @@ def profile_pairs(spark, d):
     return metrics.paired(log)
 
 
+@query(
+    """, e AS (SELECT event_type AS label, epoch_us(ts) AS moment, CASE WHEN event_id % 2 = 0 THEN 'begin' ELSE 'end' END AS kind FROM events),
+    m AS (SELECT label, moment, kind, lag(moment) OVER o AS began, lag(kind) OVER o AS before FROM e WINDOW o AS (PARTITION BY label ORDER BY moment, kind))
+    SELECT label, began, moment - began AS elapsed FROM m WHERE kind = 'end' AND before = 'begin'"""
+)
+def stream_pairs(spark, d):
+    """The events as a stream of begins and ends, with timers of event time and a restart."""
+    log = w.read(spark, d, "events").select(F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(F.col("event_id") % 2 == 0, "begin").otherwise("end").alias("kind"))
+    return keyed.pairs_of(log).where("what = 'pair'").select("label", "began", "elapsed")
+
+
 @query("SELECT 2 * 51 * 64 * (SELECT count(*) FROM embeddings) AS dense_ops, 2 * (SELECT count(*) FROM embeddings) * (SELECT count(*) FROM parts) AS sparse_ops")
 def gops(spark, d):
     n = w.read(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n"))
@@ -378,16 +413,24 @@ def gops(spark, d):
 
 
 @query(
-    """, g AS (SELECT a.x AS nb, b.x AS inner_nb, c.x AS kb, d.x AS cb FROM (VALUES (16),(32),(80),(160),(320)) a(x), (VALUES (16),(32),(80),(160),(320)) b(x), (VALUES (8),(16),(32),(64),(128)) c(x), (VALUES (8),(16),(32),(64),(128)) d(x) WHERE NOT (b.x > a.x OR a.x % b.x <> 0)),
-    s AS (SELECT 'parts' AS file, 2400 AS batch, m.k AS kernel, nb || '/' || inner_nb || '/' || kb || '/' || cb AS config, ((nb * 7 + inner_nb * 13 + kb * 29 + cb * 31 + length(m.k) * 17) % 997)::DOUBLE AS gops FROM g, (VALUES ('forward'), ('backward'), ('update')) m(k))
-    SELECT file, batch, kernel, max(floor(gops))::BIGINT AS gops, max_by(config, (gops, config)) AS config FROM s GROUP BY ALL"""
+    """, g AS (SELECT a.x AS nb, b.x AS inner_nb FROM (VALUES (16),(32),(80),(160),(320)) a(x), (VALUES (16),(32),(80),(160),(320)) b(x) WHERE NOT (b.x > a.x OR a.x % b.x <> 0)),
+    s AS (SELECT (user_id % 3)::BIGINT AS file, event_type AS kernel, nb || '/' || inner_nb AS config, value AS gops FROM events, g WHERE event_id % 5 = (nb + inner_nb) % 5)
+    SELECT file, 2400 AS batch, kernel, max(floor(gops))::BIGINT AS gops, max_by(config, (gops, config)) AS config FROM s GROUP BY ALL"""
 )
 def autotune_best(spark, d):
-    sizes, tiles = [16, 32, 80, 160, 320], [8, 16, 32, 64, 128]
-    grid = metrics.grid(spark, {"nb": sizes, "inner_nb": sizes, "kb": tiles, "cb": tiles}, "inner_nb > nb or nb % inner_nb <> 0")
-    runs = grid.select("*", F.explode(F.lit(["forward", "backward", "update"])).alias("kernel"))
-    rate = (F.col("nb") * 7 + F.col("inner_nb") * 13 + F.col("kb") * 29 + F.col("cb") * 31 + F.length("kernel") * 17) % 997
-    return metrics.best(runs.select(F.lit("parts").alias("file"), F.lit(2400).alias("batch"), "kernel", F.concat_ws("/", "nb", "inner_nb", "kb", "cb").alias("config"), rate.cast("double").alias("gops")))
+    """The best of a sweep whose runs are the rows of a log."""
+    sizes = [16, 32, 80, 160, 320]
+    grid = metrics.grid(spark, {"nb": sizes, "inner_nb": sizes}, "inner_nb > nb or nb % inner_nb <> 0")
+    log = w.read(spark, d, "events").select((F.col("user_id") % 3).alias("file"), F.col("event_type").alias("kernel"), (F.col("event_id") % 5).alias("turn"), F.col("value").alias("gops"))
+    runs = log.join(F.broadcast(grid), F.col("turn") == (F.col("nb") + F.col("inner_nb")) % 5)
+    return metrics.best(runs.select("file", F.lit(2400).alias("batch"), "kernel", F.concat_ws("/", "nb", "inner_nb").alias("config"), "gops"))
+
+
+@query(FORWARD)
+def tuned_fwd(spark, d):
+    """The product in the form that timed runs on samples of both sides choose."""
+    forms = {k: v for k, v in tuning.forms("long").items() if k in ("blocked", "vector", "tiled-16384")}
+    return tuning.tuned(w.parts(spark, d), w.vectors(spark, d), forms, sample=64)
 
 
 @query("SELECT DISTINCT least(l_suppkey, l_partkey) AS src, greatest(l_suppkey, l_partkey) AS dst FROM lineitem WHERE l_suppkey <> l_partkey UNION ALL SELECT DISTINCT greatest(l_suppkey, l_partkey), least(l_suppkey, l_partkey) FROM lineitem WHERE l_suppkey <> l_partkey")
@@ -401,9 +444,21 @@ def rmat_edges(spark, d):
     return generators.power_law_edges(spark, 12, 8)
 
 
-@query(generators.random_dense_sql(256, 64))
+@query("SELECT vec_id AS k, c, -1.0::DOUBLE + ({}) / {}::DOUBLE * 2.0::DOUBLE AS v FROM embeddings, places".format(hashing.draw_sql("0", "vec_id", "c"), float(hashing.PRIME)))
 def random_dense(spark, d):
-    return generators.random_dense(spark, 256, 64, seed=0).df
+    """Seeded values for every embedding and place."""
+    cells = w.read(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(w.WIDTH - 1).cast("long"))).alias("c"))
+    return generators.random_cells(cells, seed=0)
+
+
+@query(
+    """, e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS src, greatest(l_suppkey, l_partkey) AS dst, l_orderkey % 3 = 0 AS late FROM lineitem WHERE l_suppkey <> l_partkey)
+    SELECT src, dst FROM e WHERE late EXCEPT SELECT src, dst FROM e WHERE NOT late"""
+)
+def bloom_unseen(spark, d):
+    """Edges of every third order that no other order has: a filter goes before the join."""
+    e = w.read(spark, d, "lineitem").select(F.least("l_suppkey", "l_partkey").alias("src"), F.greatest("l_suppkey", "l_partkey").alias("dst"), (F.col("l_orderkey") % 3 == 0).alias("late")).where("src <> dst")
+    return bloom.unseen(e.where("late"), e.where("not late").select("src", "dst").distinct(), ["src", "dst"])
 
 
 @query("SELECT n, c, (n * 64 + c) // 24 + ((n * 64 + c) % 24 > 0)::BIGINT AS whole, reverse(lpad(bin(c), 8, '0')) AS bits FROM (SELECT n, c FROM cells)")

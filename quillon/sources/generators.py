@@ -15,6 +15,11 @@ def random_dense(spark: SparkSession, rows: int, cols: int, seed: int = 0, low:
     return Matrix(cells.withColumn("v", value), rows, cols)
 
 
+def random_cells(places: DataFrame, seed: int = 0, low: float = -1.0, high: float = 1.0) -> DataFrame:
+    """The same values for given places (k, c)."""
+    return places.withColumn("v", F.lit(low) + draw(seed, F.col("k"), F.col("c")) / float(PRIME) * (high - low))
+
+
 def random_dense_sql(rows: int, cols: int, seed: int = 0, low: float = -1.0, high: float = 1.0) -> str:
     unit = draw_sql(str(seed), "k.range", "c.range")
     return f"SELECT k.range::BIGINT AS k, c.range::BIGINT AS c, {low}::DOUBLE + ({unit}) / {float(PRIME)}::DOUBLE * {high - low}::DOUBLE AS v FROM range({rows}) k, range({cols}) c"
