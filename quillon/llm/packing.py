@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions_for, text_of
-from .tokens import CACHE_WORDS, word_encoder
+from .common import bounded_batches, give_back, partitions_for, text_of
+from .tokens import CACHE_WORDS, STEP, word_encoder
 
 CAPACITY = 4096
 #: Documents of a group, on average.
@@ -96,8 +96,11 @@ def topped_up(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[lis
     return [b for _, b in filled if b]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, seed: int = SEED, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """One row a piece; sequence_id names a sequence, offset is the place there."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, seed: int = SEED, cache_words: int = CACHE_WORDS, step_bytes: int = STEP) -> DataFrame:
+    """One row a piece; sequence_id names a sequence, offset is the place there.
+
+    ``cache_words`` and ``step_bytes`` bound what a task holds: known words, and text that is encoded at once.
+    """
     bounded_batches(docs.sparkSession)
     groups = max(1, -(-docs.select(F.count(F.lit(1))).first()[0] // group))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -124,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
         encoded: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for first, ids, offsets in model.batches(batch.column(2)):
+            for first, ids, offsets in model.batches(batch.column(2), step_bytes):
                 n, ids = len(offsets) - 1, ids.astype("<u4")
                 names, marks = batch.column(1).slice(first, n).to_pylist(), offsets.tolist()
                 for g, doc_id, a, b in zip(batch.column(0).slice(first, n).to_pylist(), names, marks, marks[1:], strict=False):
@@ -140,6 +143,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
                     held += b - a
         if doc_ids:
             yield packed(number, sequence, doc_ids, encoded)[0]
+        give_back()
 
     # The order in a group is set, so a task that runs again cuts and places the same pieces.
     dealt = dealt.select("group", "doc_id", "text").repartition(partitions_for(docs), "group").sortWithinPartitions("group", "doc_id", F.xxhash64("text"))

@@ -46,13 +46,13 @@ def offsets_of(length: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(length, dtype=np.int64)])
 
 
-def steps(texts: pa.Array) -> Iterable[tuple[int, int]]:
-    """(first, number) of runs of large strings of about ``STEP`` bytes, a text at least."""
+def steps(texts: pa.Array, most: int = STEP) -> Iterable[tuple[int, int]]:
+    """(first, number) of runs of large strings of about ``most`` bytes, a text at least."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy())
     at = 0
     while at < len(texts):
         before = int(sizes[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + STEP, "right")))
+        end = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
         yield at, end - at
         at = end
 
@@ -256,10 +256,10 @@ class Encoder:
             sizes.append(size)
         return np.concatenate(out), offsets_of(np.array(sizes))
 
-    def batches(self, texts: pa.Array) -> Iterable[tuple[int, np.ndarray, np.ndarray]]:
+    def batches(self, texts: pa.Array, step: int = STEP) -> Iterable[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids, offsets) of steps of bounded size; each text's ids end with ``END_ID``."""
         texts = texts.cast(pa.large_string())
-        for at, n in steps(texts):
+        for at, n in steps(texts, step):
             ids, offsets = self.batch(texts.slice(at, n))
             yield at, np.insert(ids, offsets[1:], np.uint32(END_ID)), offsets + np.arange(len(offsets))
 
