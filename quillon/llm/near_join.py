@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import bounded_batches, fresh, sized, text_of, written
+from .common import bounded_batches, fresh, give_back, sized, text_of, written
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -122,6 +122,8 @@ def signed(docs: DataFrame, size: int, forest: Forest) -> DataFrame:
                     nodes.append(node_of(words))
                     labels.append(forest.labels(shingles(words, hashes, size)) if words else [])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], names=["doc_id", "node", "labels"])
+        del hashes
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, node binary, labels array<long>")
 
@@ -198,6 +200,8 @@ def candidates(nodes: DataFrame, similarity: float, recall: float, trees: int, c
             held[:] = [(keys_[last:], labels[last:], nodes_.slice(last))]
         if held and (out := edges(*joined())):
             yield out
+        held.clear()
+        give_back()
 
     near = found.where(F.col("n") <= crowd).join(nodes.select("node", "labels"), "node").select(*keys, "node", "labels")
     near = near.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "u binary, v binary")
@@ -281,6 +285,8 @@ def verified(texts: DataFrame, size: int, similarity: float, block: int = BLOCK)
                     column.append(value)
         if len(held[0]) > 1 and (out := group(now[1] != now[2], *held)):
             yield out
+        del hashes, held
+        give_back()
 
     keys = ["label", "i", "j"]
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node binary, root binary, links long")
