@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import PRIME, draw, draw_sql, floor_div, gaussian, uniform
 from ..matrix import Matrix, ShapeError
+from ..plans.work import written
 
 
 def random_dense(spark: SparkSession, rows: int, cols: int, seed: int = 0, low: float = -1.0, high: float = 1.0, normal: bool = False) -> Matrix:
@@ -57,15 +58,15 @@ def scrambled_sql(vertex: str, scale: int, seed: int = 0) -> str:
 MOST_DRAWS = 4096
 
 
-def drawn_edges(spark: SparkSession, draws: int, scale: int, a: float, b: float, c: float, scramble: bool, seed: int) -> DataFrame:
-    """s < d and the first draw of each different edge among so many draws."""
+def drawn_edges(spark: SparkSession, low: int, high: int, scale: int, a: float, b: float, c: float, scramble: bool, seed: int) -> DataFrame:
+    """s < d and the first draw of each different edge among the draws from low to high."""
     # u < c: (0, 1); < b + c: (1, 0); < a + b + c: (0, 0); else (1, 1)
     bits = F.sequence(F.lit(0), F.lit(scale - 1))
     units = F.transform(bits, lambda k: draw(seed, F.col("id"), k) / float(PRIME))
     weigh = lambda hit: F.aggregate(F.transform("u", lambda x, k: F.when(hit(x), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, y: s + y)
     src = weigh(lambda x: ((x >= c) & (x < b + c)) | (x >= a + b + c))
     dst = weigh(lambda x: (x < c) | (x >= a + b + c))
-    edges = spark.range(draws).select("id", units.alias("u")).select("id", src.alias("s"), dst.alias("d"))
+    edges = spark.range(low, high).select("id", units.alias("u")).select("id", src.alias("s"), dst.alias("d"))
     if scramble:
         edges = edges.select("id", scrambled(F.col("s"), scale, seed).alias("s"), scrambled(F.col("d"), scale, seed).alias("d"))
     return edges.where("s <> d").groupBy(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).agg(F.min("id").alias("first"))
@@ -90,21 +91,24 @@ def power_law_edges(spark: SparkSession, scale: int, edge_factor: int, a: float
 
     Each bit of an edge falls in one of four quarters by its own hash.  Loops and
     repeats are drawn again: the edges are those of the first draws that give so
-    many.  Both directions of an edge are given.
+    many.  Both directions of an edge are given.  Edges that were drawn are kept: more
+    draws are made only from where the last ones ended, and merged with those.
     """
     if not 1 <= scale <= 62 or min(a, b, c) < 0 or a + b + c > 1:
         raise ShapeError("scale is 1 to 62, and a, b, c are shares of one")
-    want = draws = edge_factor << scale
+    want = edge_factor << scale
     if want < 1 or want > (1 << scale) * ((1 << scale) - 1) // 2:
         raise ShapeError(f"{want} edges between {1 << scale} vertices")
+    one, low, draws = None, 0, want
     while True:
-        one = drawn_edges(spark, draws, scale, a, b, c, scramble, seed)
+        new = drawn_edges(spark, low, draws, scale, a, b, c, scramble, seed)
+        one = written(new if one is None else one.unionByName(new).groupBy("s", "d").agg(F.min("first").alias("first")), "edges")
         found = one.count()
         if found >= want:
             break
         if draws >= MOST_DRAWS * want:
             raise ShapeError(f"only {found} of {want} edges in {draws} draws")
-        draws *= 2
+        low, draws = draws, 2 * draws
     one = one.where(F.col("first") <= last_place(one, "first", want, draws))
     return one.select(F.inline(F.array(F.struct(F.col("s").alias("src"), F.col("d").alias("dst")), F.struct(F.col("d").alias("src"), F.col("s").alias("dst")))))
 
