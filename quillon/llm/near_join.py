@@ -333,7 +333,9 @@ def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARIT
 
 @F.arrow_udf(BinaryType())
 def text_node(text: pa.Array) -> pa.Array:
-    return pa.array([node_of(words_of(t)) for t in text.to_pylist()], pa.binary())
+    found = pa.array([node_of(words_of(t)) for t in text.to_pylist()], pa.binary())
+    give_back()
+    return found
 
 
 def with_node(texts: DataFrame, one: DataFrame) -> DataFrame:
