@@ -96,10 +96,11 @@ def topped_up(bins: list[list[tuple[int, int, int]]], capacity: int) -> list[lis
     return [b for _, b in filled if b]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, seed: int = SEED, cache_words: int = CACHE_WORDS, step_bytes: int = STEP) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP, seed: int = SEED, cache_words: int = CACHE_WORDS, step_bytes: int = STEP, keep_words: bool = True) -> DataFrame:
     """One row a piece; sequence_id names a sequence, offset is the place there.
 
     ``cache_words`` and ``step_bytes`` bound what a task holds: known words, and text that is encoded at once.
+    Known words serve the next task of a worker too, unless ``keep_words`` is false.
     """
     bounded_batches(docs.sparkSession)
     groups = max(1, -(-docs.select(F.count(F.lit(1))).first()[0] // group))
@@ -143,6 +144,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
                     held += b - a
         if doc_ids:
             yield packed(number, sequence, doc_ids, encoded)[0]
+        doc_ids, encoded = [], []
+        if not keep_words:
+            model.forget()
         give_back()
 
     # The order in a group is set, so a task that runs again cuts and places the same pieces.

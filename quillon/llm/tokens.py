@@ -195,6 +195,11 @@ class Encoder:
         start = np.stack([np.zeros(len(ends), np.int64), ends - lengths + n], 1).ravel()
         return ragged(np.concatenate([self.break_ids, ids]), start, np.stack([broken, lengths], 1).ravel()), lengths + broken
 
+    def forget(self) -> None:
+        """Drop all words that the cache keeps."""
+        self.pool.clear(), self.known.clear(), self.tails.clear()
+        self.uses = np.zeros(0, np.int64)
+
     def trim(self, most: int) -> None:
         """Past the bound, keep only words that came more than once."""
         if len(self.known) <= most and self.pool.used <= 16 * most:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boost
-from .common import bounded_batches, fresh, text_of
+from .common import bounded_batches, fresh, give_back, text_of
 
 SAMPLE = 20_000
 FOLDS = 4
@@ -174,6 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                     c[2 + FOLDS + fold] += toxic
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen)), *[pa.array(x, pa.int64()) for x in zip(*seen.values(), strict=True)]], names=["term", *names])
+        seen.clear()
+        give_back()
 
     names = ["n", "t", *[f"n{i}" for i in range(FOLDS)], *[f"t{i}" for i in range(FOLDS)]]
     counted = texts.mapInArrow(count, ", ".join(["term string", *[f"{x} long" for x in names]])).groupBy("term").agg(*[F.sum(x).alias(x) for x in names])
@@ -189,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 fold = fold_of(text)
                 found.append([float(fold), float(toxic), *map(float, features(text, codes[fold]))])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64()))], names=["row"])
+        give_back()
 
     table = np.array([r.row for r in texts.mapInArrow(measure, "row array<double>").collect()])
     if not len(table) or len(set(table[:, 1])) < 2:
@@ -208,6 +211,8 @@ def score(model: Model, text: Column) -> Column:
         codes = Codes(model.lexicon)
         for texts in batches:
             yield pd.Series(np.clip(model.scores(texts.tolist(), codes), 0.0, 1.0))
+        codes.clear()
+        give_back()
 
     return scored(text)
 
