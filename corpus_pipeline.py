@@ -43,8 +43,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The workers still hold what other stages keep, so the cache of words and the steps are smaller here."""
-    return packing.pack_documents(docs, cache_words=150_000, step_bytes=2 << 20)
+    """Workers serve other stages too, so the cache of words and the steps are smaller here, and no words outlive a task."""
+    return packing.pack_documents(docs, cache_words=60_000, step_bytes=1 << 20, keep_words=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
