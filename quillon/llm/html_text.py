@@ -15,8 +15,10 @@ belongs to the host if at least ``FEW`` + 1 pages and the share ``SHARE`` of the
 host's pages have it.  Rows of one url, and pages with the same stream, are one page
 there, so a story under several addresses stays.  Open blocks that the host's runs
 cover by half or more are boilerplate; the others are text, in page order with the
-main blocks, also in a page that declares some.  Only where all of them beside main
-blocks are fewer words than a run are they left out, for runs cannot judge them.
+main blocks, also in a page that declares some.  A form is dropped unless it wraps the
+page: it then holds navigation, headers, footers or asides of the page, or nothing
+outside it is main or open and it has a block of ``RUN`` words; what it holds is
+then judged as if the form were not there.
 
 Main blocks are protected: an article that several pages share is text of each of
 them.  A host whose pages declare the role of every block has nothing for runs to
@@ -49,8 +51,8 @@ RUN, PAGES, COVERED = 12, 256, 0.5
 #: So many pages may share a text that is theirs, and the share of a host's pages that makes a run the host's.
 FEW, SHARE = 3, 0.2
 MAIN, DROPPED, OPEN = 1, 0, 2
-#: While reading, dropped too: a main element in these is main again, in SOFT an article as well.
-SOFT, ASIDE = 3, 4
+#: While reading, dropped too: a main element in these is main again, in SOFT an article as well.  In a form it is not known yet.
+SOFT, ASIDE, FORM = 3, 4, 5
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -61,6 +63,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements of a page that a form for input does not hold.
+OF_PAGE = frozenset("nav header footer aside".split())
 #: Elements that hold a role until they are closed; others do not change it.
 HOLDERS = BLOCK - frozenset("p dt dd li tr td th option hr".split()) | frozenset("span svg object select button".split())
 BOILER = frozenset("nav footer aside form head dialog menu svg object select button".split())
@@ -124,6 +128,8 @@ def role_of(tag: str, raw: str, now: int) -> int:
         return DROPPED
     if now == ASIDE or words & MARGIN:
         return ASIDE
+    if tag == "form" and now == OPEN and not role and not words & ANYWHERE:
+        return FORM
     if now == SOFT or tag in ("form", "head") or role in ROLES or words & ANYWHERE:
         return SOFT
     return SOFT if now != MAIN and (tag == "header" or words & OUTSIDE) else now
@@ -134,13 +140,14 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    wraps: list[bool] = []  # for each form in open text: whether it wraps the page
     now, at = OPEN, 0
 
     def close() -> None:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((now if now in (MAIN, OPEN) else DROPPED, text))
+                out.append((-len(wraps) if now == FORM else now if now in (MAIN, OPEN) else DROPPED, text))
             parts.clear()
 
     while m := TAG.search(page, at):
@@ -170,6 +177,10 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                 close()
             stack.append((tag, was))
             now = into
+            if into == FORM != was:
+                wraps.append(False)
+            elif was == FORM and tag in OF_PAGE:
+                wraps[-1] = True
         elif any(t == tag for t, _ in stack):
             while True:
                 t, was = stack.pop()
@@ -182,7 +193,15 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     if rest:
         parts.append(html.unescape(rest))
     close()
-    return out
+    return settled(out, wraps) if wraps else out
+
+
+def settled(blocks: list[tuple[int, str]], wraps: list[bool]) -> list[tuple[int, str]]:
+    """The blocks with the roles of those in form ``n``, which have ``-n``: open if the form wraps the page."""
+    if not any(r in (MAIN, OPEN) for r, _ in blocks):
+        long = {-r for r, t in blocks if r < 0 and t.count(" ") + 1 >= RUN}
+        wraps = [w or n in long for n, w in enumerate(wraps, 1)]
+    return [(r if r >= 0 else OPEN if wraps[-r - 1] else DROPPED, t) for r, t in blocks]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -330,20 +349,18 @@ def kept_blocks(roles: list[int], texts: list[str], places: list[int] | None) ->
     """The blocks of the text: main ones, and the open ones that are not boilerplate."""
     starts = set(places or ())
     covered = {p + i for p in starts if p >= 0 for i in range(RUN)}
-    out, at, words = [], 0, 0
+    out, at = [], 0
     for r, t in zip(roles, texts, strict=True):
         end = at + t.count(" ") + 1
         if r == MAIN:
-            out.append((r, t))
+            out.append(t)
         elif r == OPEN:
             # A run that comes in from another block counts only if it takes in this one whole.
             inside = {p + i for p in range(at, end - RUN + 1) if p in starts for i in range(RUN)}
             if -1 - at not in starts and len(inside) < COVERED * (end - at) and not all(i in covered for i in range(at, end)):
-                out.append((r, t))
-                words += end - at
+                out.append(t)
         at = end
-    beside = MAIN not in roles or words >= RUN
-    return [t for r, t in out if r == MAIN or beside]
+    return out
 
 
 def main_text(pages: DataFrame) -> DataFrame:

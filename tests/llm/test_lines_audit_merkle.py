@@ -233,3 +233,35 @@ def test_work_folders_of_another_thread_stay(spark):
     thread.start()
     thread.join()
     assert other[0][1] == 1 and common.made() == since
+
+
+def page_text(page: str) -> list[str]:
+    from quillon.llm.html_text import blocks_of, kept_blocks
+
+    found = blocks_of(page)
+    return kept_blocks([r for r, _ in found], [t for _, t in found], None)
+
+
+def test_forms_that_wrap_the_page():
+    prose = " ".join(f"word{i}" for i in range(13))
+    assert page_text(f"<body><form id=aspnetForm><p>{prose}</p><p>Short.</p></form></body>") == [prose, "Short."]
+    assert page_text("<body><form id=aspnetForm><nav>Menu</nav><div>Short story.</div><footer>foot</footer></form></body>") == ["Short story."]
+    assert page_text(f"<form>A<form>{prose}</form><header>x</header>B</form>C") == ["A", "B", "C"]
+    # Forms for input stay dropped.
+    assert page_text(f"<body><p>Hi there.</p><form>{prose}</form></body>") == ["Hi there."]
+    assert page_text(f"<article>Story.</article><form>{prose}</form>") == ["Story."]
+    assert page_text("<body><form>Name <input> Mail</form></body>") == []
+    assert page_text(f"<body><form class=login><p>{prose}</p></form></body>") == []
+
+
+def test_short_text_beside_an_article_stays():
+    assert page_text("<article>Story.</article><p>By A. Writer</p>") == ["Story.", "By A. Writer"]
+
+
+def test_encoder_forgets_its_words():
+    from quillon.llm import tokens
+
+    model, texts = tokens.word_encoder(), ["Hello, World! x\ny", "abc abc", "", "Élan vital; don't"]
+    before = [*model.encode(texts)]
+    model.forget()
+    assert not model.known and [*model.encode(texts)] == before
