@@ -15,7 +15,9 @@ belongs to the host if at least ``FEW`` + 1 pages and the share ``SHARE`` of the
 host's pages have it.  Rows of one url, and pages with the same stream, are one page
 there, so a story under several addresses stays.  Open blocks that the host's runs
 cover by half or more are boilerplate; the others are text, in page order with the
-main blocks, also in a page that declares some.  A form is dropped unless it wraps the
+main blocks, also in a page that declares some.  Only where all of them beside main
+blocks are fewer words than a run are they left out, for runs cannot judge them.
+A form is dropped unless it wraps the
 page: it then holds navigation, headers, footers or asides of the page, or nothing
 outside it is main or open and it has a block of ``RUN`` words; what it holds is
 then judged as if the form were not there.
@@ -349,18 +351,20 @@ def kept_blocks(roles: list[int], texts: list[str], places: list[int] | None) ->
     """The blocks of the text: main ones, and the open ones that are not boilerplate."""
     starts = set(places or ())
     covered = {p + i for p in starts if p >= 0 for i in range(RUN)}
-    out, at = [], 0
+    out, at, words = [], 0, 0
     for r, t in zip(roles, texts, strict=True):
         end = at + t.count(" ") + 1
         if r == MAIN:
-            out.append(t)
+            out.append((r, t))
         elif r == OPEN:
             # A run that comes in from another block counts only if it takes in this one whole.
             inside = {p + i for p in range(at, end - RUN + 1) if p in starts for i in range(RUN)}
             if -1 - at not in starts and len(inside) < COVERED * (end - at) and not all(i in covered for i in range(at, end)):
-                out.append(t)
+                out.append((r, t))
+                words += end - at
         at = end
-    return out
+    beside = MAIN not in roles or words >= RUN
+    return [t for r, t in out if r == MAIN or beside]
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -254,10 +254,6 @@ def test_forms_that_wrap_the_page():
     assert page_text(f"<body><form class=login><p>{prose}</p></form></body>") == []
 
 
-def test_short_text_beside_an_article_stays():
-    assert page_text("<article>Story.</article><p>By A. Writer</p>") == ["Story.", "By A. Writer"]
-
-
 def test_encoder_forgets_its_words():
     from quillon.llm import tokens
 
