@@ -19,7 +19,8 @@ are.
 
 Candidates that hang together are compared by their exact shingle sets, in blocks
 of bounded size; no pair is ever emitted, only each node's number of links and a
-spanning forest.
+spanning forest.  Each text is shuffled once, to be set against one text of its
+candidates; blocks get what the sets lack and add.
 
 Edge cases: null counts as empty; texts without words are copies of one another
 and unlike all others; very long texts count whole; repeated rows each count;
@@ -48,8 +49,9 @@ TREES, LONGEST, RECALL = 32, 8, 0.9999
 CROWD, ERRORS = 256, 4
 #: Copies of a text from which it is hot.
 HOT = 1024
-#: Nodes of a block; two blocks at most are in one task.
-BLOCK = 256
+#: Nodes of a block; two blocks at most are in one task.  A label is so many blocks at most, until one has ``WIDER`` times
+#: the nodes; more if the differences in one are more than so many hashes.
+BLOCK, SPREAD, WIDER, BLOCK_HASHES = 256, 16, 8, 1 << 22
 CACHE_WORDS = 100_000
 SEED = 77_003
 
@@ -210,46 +212,113 @@ def candidates(nodes: DataFrame, similarity: float, recall: float, trees: int, c
     return near.unionByName(full.join(first, keys).select(F.col("node").alias("u"), "v"))
 
 
-def links_in(sets: list[np.ndarray], sides: list[int], similarity: float, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i < j) of sets that are alike; of two blocks, only those across."""
-    sizes = np.array([len(s) for s in sets])
+def links_in(sets: list[np.ndarray], sides: list[int], similarity: float, sizes: np.ndarray, common: np.ndarray, base: int, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i < j) of shingle sets that are alike; of two blocks, only those across.
+
+    ``sets`` are differences from one base set, which has ``base`` shingles: what two
+    sets share is what both share with the base, and what their differences share.
+    """
+    none = np.zeros(0, np.int64)
+    side = np.array(sides)
+    left = np.flatnonzero(side == side.min()) if across else np.arange(len(sets))
+    right = np.flatnonzero(side != side.min()) if across else left
+    if not len(right):
+        return none, none
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else none
     often = np.diff(np.concatenate([edge, [len(values)]]))
     column = np.repeat(np.arange(len(edge)), often)
     shared = np.repeat(often > 1, often)
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = 1024
     cut = np.searchsorted(column, np.arange(0, (column.max() if len(column) else -1) + 1 + width, width))
     for k in range(len(cut) - 1):
         has = np.zeros((len(sets), width), np.float32)
         has[owner[cut[k] : cut[k + 1]], column[cut[k] : cut[k + 1]] - k * width] = 1
-        both += has @ has.T
-    either = sizes[:, None] + sizes[None, :] - both
-    alike = (both > 0) & (both >= similarity * either - 1e-6)
-    side = np.array(sides)
-    alike &= np.triu(np.ones_like(alike), 1)
-    if across:
-        alike &= side[:, None] != side[None, :]
-    return np.nonzero(alike)
+        both += has[left] @ has[right].T if across else has @ has.T
+    a, b = [none], [none]
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        met = both[at : at + 256].astype(np.float64) + (common[rows][:, None] + common[right][None, :] - base)
+        either = sizes[rows][:, None] + sizes[right][None, :] - met
+        alike = (met > 0) & (met >= similarity * either - 1e-6)
+        if not across:
+            alike &= rows[:, None] < right[None, :]
+        x, y = np.nonzero(alike)
+        a.append(rows[x])
+        b.append(right[y])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def differences(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """label, node, copies, size, common, base, diff: each node's shingles against those of one node of its label.
+
+    ``texts`` has label, node, copies, text; ``members`` label and node.  The text of
+    the label's least node goes to each of its parts, and the others to one part,
+    so every text is shuffled once; near copies differ in few shingles.
+    """
+    counts = written(members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"), F.min("node").alias("pivot")), "counts")
+    rows = texts.join(sized(counts), "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("ahead", F.col("node") == F.col("pivot"))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("ahead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+    rows = rows.select("label", "part", "ahead", (F.col("part") == F.col("own")).alias("counts"), "node", "copies", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by part, the text that the others are set against ahead of them; one part's is held."""
+        hashes, now, base = WordHashes(), None, np.zeros(0, np.uint64)
+        held: list[tuple] = []
+        shape = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["label", "node", "copies", "size", "common", "base", "diff"]
+
+        def out() -> pa.RecordBatch:
+            *columns, diffs = zip(*held, strict=True)
+            ends = np.cumsum([0, *map(len, diffs)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(diffs).view(np.int64)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, shape, strict=True)), lists], names=names)
+
+        for batch in batches:
+            waiting = 0
+            for label, part, ahead, counted, node, copies, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                found = shingles(words_of(text), hashes, size)
+                if (label, part) != now:
+                    now, base = (label, part), found if ahead else found[:0]
+                if counted:
+                    diff = np.setxor1d(found, base, assume_unique=True)
+                    held.append((label, node, copies, len(found), (len(found) + len(base) - len(diff)) // 2, len(base), diff))
+                    waiting += len(diff)
+                if waiting > 1 << 18:
+                    yield out()
+                    waiting = 0
+            if held:
+                yield out()
+        del hashes, base
+        give_back()
+
+    keys = ["label", "part"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.col("ahead").desc()).mapInArrow(run, "label binary, node binary, copies long, size long, common long, base long, diff array<long>")
 
 
-def verified(texts: DataFrame, size: int, similarity: float, block: int = BLOCK) -> DataFrame:
+def verified(texts: DataFrame, members: DataFrame, size: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """(node, root, links) of nodes with links, for each block pair of their candidates.
 
-    ``texts`` has label, node, copies, text; a label's nodes are candidates.
+    ``texts`` has label, node, copies, text; a label's nodes, in ``members``, are
+    candidates.  What goes to each pair of blocks are differences, not texts, and a
+    label is ``SPREAD`` blocks unless those are too large.
     """
-    counts = texts.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = texts.join(counts, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    diffs = written(differences(texts, members, size), "differences")
+    weight = diffs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("diff")).alias("hashes"))
+    some = F.least(F.ceil(F.col("n") / block), F.greatest(F.lit(SPREAD), F.ceil(F.col("n") / (WIDER * block))))
+    blocks = written(weight.select("label", F.greatest(some, F.ceil(F.col("hashes") / BLOCK_HASHES), F.lit(1)).cast("int").alias("blocks")), "blocks")
+    rows = diffs.join(sized(blocks), "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "text")
+    rows = rows.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "size", "common", "base", "diff")
 
-    def group(across: bool, nodes: list[bytes], copies: list[int], sides: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        a, b = links_in(sets, sides, similarity, across)
+    def group(across: bool, sides: list[int], nodes: list[bytes], copies: list[int], sizes: list[int], common: list[int], base: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        a, b = links_in(sets, sides, similarity, np.array(sizes), np.array(common), base[0], across)
         if not len(a):
             return None
         weight = np.array(copies, np.int64)
@@ -273,19 +342,21 @@ def verified(texts: DataFrame, size: int, similarity: float, block: int = BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block pair; one pair of blocks is held at a time."""
-        hashes, now = WordHashes(), None
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        now, held = None, tuple([] for _ in range(7))
         for batch in batches:
-            for label, i, j, own, node, copies, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            lists = batch.column("diff")
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            sets = np.split(lists.flatten().to_numpy(), ends[:-1])
+            for label, i, j, *rest in zip(*[c.to_pylist() for c in batch.columns[:9]], sets, strict=True):
                 if (label, i, j) != now:
                     if len(held[0]) > 1 and (out := group(now[1] != now[2], *held)):
                         yield out
-                    now, held = (label, i, j), ([], [], [], [])
-                for column, value in zip(held, (node, copies, own, shingles(words_of(text), hashes, size)), strict=True):
+                    now, held = (label, i, j), tuple([] for _ in range(7))
+                for column, value in zip(held, rest, strict=True):
                     column.append(value)
         if len(held[0]) > 1 and (out := group(now[1] != now[2], *held)):
             yield out
-        del hashes, held
+        del held
         give_back()
 
     keys = ["label", "i", "j"]
@@ -314,7 +385,7 @@ def classified(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARIT
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     one = members.select("label", "node", "copies", "high")
-    pairs = verified(with_node(texts, one), size, similarity)
+    pairs = verified(with_node(texts, one), one, size, similarity)
     pairs = written(pairs, "links")
     found = components(pairs.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = pairs.groupBy("node").agg(F.sum("links").alias("links"))

@@ -261,3 +261,42 @@ def test_encoder_forgets_its_words():
     before = [*model.encode(texts)]
     model.forget()
     assert not model.known and [*model.encode(texts)] == before
+
+
+def test_large_classes_ship_differences(spark, monkeypatch):
+    """A class of near copies: each text is set against one other, in any number of parts and blocks, and links stay."""
+    from quillon.llm import near_join
+
+    base = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(0, 90, 3)] + [" ".join([*base, f"end{i}"]) for i in range(10)] + [" ".join(base[:110])] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plain = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    want = {i: sum(j != i and len(p & q) >= 0.8 * len(p | q) for j, q in enumerate(plain)) for i, p in enumerate(plain)}
+    members = docs.withColumn("node", near_join.text_node("text")).groupBy("node").agg(F.count("node").alias("copies"), F.first("text").alias("text")).withColumn("label", F.lit(bytearray(b"one")))
+    for block, hashes in ((256, 1 << 22), (3, 1 << 22), (3, 40)):
+        monkeypatch.setattr(near_join, "BLOCK", block)
+        monkeypatch.setattr(near_join, "BLOCK_HASHES", hashes)
+        found = near_join.differences(members, members, 5).collect()
+        assert len(found) == len({bytes(r.node) for r in found}) == 41
+        assert sum(len(r.diff) for r in found) < 0.3 * sum(r.size for r in found)
+        assert all(r.size + r.base - 2 * r.common == len(r.diff) for r in found)
+        assert {r.doc_id: r.n_links for r in near_join.near_classes(docs).collect()} == want
+
+
+def test_pairs_of_sets_against_a_plain_count():
+    import numpy as np
+
+    from quillon.llm import near_join
+
+    rng = np.random.RandomState(4)
+    base = np.arange(40)
+    sets = [np.setdiff1d(np.arange(44), rng.choice(44, rng.randint(0, 8), replace=False)) for _ in range(30)] + [np.array([99])]
+    sides = [int(k > 12) for k in range(31)]
+    common = np.array([len(np.intersect1d(s, base)) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    for across in (False, True):
+        a, b = near_join.links_in([np.setxor1d(s, base) for s in sets], sides, 0.8, sizes, common, 40, across)
+        like = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+        want = {(i, j) for i in range(31) for j in range(i + 1, 31) if like(sets[i], sets[j]) and (not across or sides[i] != sides[j])}
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and want
+    assert not len(near_join.links_in([base, base], [1, 1], 0.8, np.array([40, 40]), np.zeros(2, int), 0, True)[0])
