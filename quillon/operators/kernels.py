@@ -405,20 +405,48 @@ def gemv(a: DataFrame, x: DataFrame, cols: int) -> DataFrame:
     return met.select("n", "y")
 
 
+#: The type of whole products that a long does not hold.
+WHOLE = "decimal(38,0)"
+
+
+def fits_long(a: DataFrame, b: DataFrame, alpha: float | int, beta: float | int, c: DataFrame | None) -> bool:
+    """Whether no sum of a product can leave the range of a long: the greatest row of a times the greatest value of b bounds it."""
+
+    def greatest_row(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("i").agg(F.sum(F.abs(F.col("v").cast("double"))).alias("v")).agg(F.max("v").alias(name))
+
+    found = greatest_row(a, "a").crossJoin(b.agg(F.max(F.abs(F.col("v").cast("double"))).alias("b")))
+    found = (found if c is None else found.crossJoin(greatest_row(c, "c"))).first().asDict()
+    held = {k: v or 0.0 for k, v in found.items()}
+    return held["a"] * held["b"] * max(1.0, abs(alpha)) + held.get("c", 0.0) * abs(beta) < 2.0**62  # half of it, since doubles are rounded
+
+
 def gemm(a: DataFrame, b: DataFrame, transpose_a: bool = False, transpose_b: bool = False, alpha: float | int = 1, beta: float | int = 0, c: DataFrame | None = None, shapes: tuple[tuple[int, int], tuple[int, int]] | None = None) -> DataFrame:
     """alpha * op(a) op(b) + beta * c over cells (i, j, v); a transpose is a choice of columns.
 
-    ``shapes`` of a and b, where they are known, have to fit.
+    ``shapes`` of a and b, where they are known, have to fit.  Whole numbers give
+    longs; where their sums could be too large for that (sides are read once to tell),
+    the result is a decimal of 38 digits, which is exact too.
     """
     if shapes and (shapes[0][0] if transpose_a else shapes[0][1]) != (shapes[1][1] if transpose_b else shapes[1][0]):
         raise ShapeError(f"a product of {shapes[0]} and {shapes[1]}")
-    kind = number_kind(kinds(a)["v"], kinds(b)["v"])
-    left = a.select(F.col("j" if transpose_a else "i").alias("i"), F.col("i" if transpose_a else "j").alias("p"), wide(F.col("v"), kind).alias("a"))
-    right = b.select(F.col("j" if transpose_b else "i").alias("p"), F.col("i" if transpose_b else "j").alias("j"), wide(F.col("v"), kind).alias("b"))
-    out = left.join(right, "p").groupBy("i", "j").agg((F.sum(F.col("a") * F.col("b")) * alpha).alias("v"))
-    if c is None or not beta:
+    c = c if beta else None
+    types = [kinds(x)["v"] for x in (a, b, c) if x is not None]
+    kind = number_kind(*("bigint" if t == WHOLE else t for t in types[:2]))
+    left = a.select(F.col("j" if transpose_a else "i").alias("i"), F.col("i" if transpose_a else "j").alias("p"), "v")
+    right = b.select(F.col("j" if transpose_b else "i").alias("p"), F.col("i" if transpose_b else "j").alias("j"), "v")
+    if kind == "long" and (WHOLE in types or not fits_long(left, right, alpha, beta, c)):
+        kind = WHOLE
+
+    def scaled(x: Column, by: float | int) -> Column:
+        return (x.cast(WHOLE) * by).cast(WHOLE) if kind == WHOLE and isinstance(by, int) else x * by
+
+    pairs = left.select("i", "p", wide(F.col("v"), kind).alias("a")).join(right.select("p", "j", wide(F.col("v"), kind).alias("b")), "p")
+    out = pairs.groupBy("i", "j").agg(scaled(F.sum(F.col("a") * F.col("b")), alpha).alias("v"))
+    if c is None:
         return out
-    kept = c.select("i", "j", (F.col("v") * beta).alias("v"))
+    whole = types[2] == WHOLE or number_kind(types[2]) == "long"
+    kept = c.select("i", "j", (scaled(F.col("v"), beta) if whole else F.col("v") * beta).alias("v"))
     return out.unionByName(kept).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
