@@ -36,7 +36,16 @@ def size_of(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def read_size(df: DataFrame) -> int:
+    """Bytes of the tables that the plan reads, if these are known to be less than ``size_of``, which multiplies the sides of a join."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return min(size_of(df), sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
+
+
 def partitions_for(df: DataFrame, each: int = 32 << 20) -> int:
-    """Partitions of about ``each`` bytes; those of the session where the size is not known."""
-    size, least = size_of(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions of about ``each`` bytes of what is read; those of the session where the size is not known.
+
+    A range sort sends a sample to the driver for each partition, so their number is to grow as the input does.
+    """
+    size, least = read_size(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return least if size > 1 << 53 else max(least, min(1_000_000, -(-size // each)))

@@ -1,6 +1,7 @@
 """Sizes and values beyond those of the small tables."""
 
 from quillon.operators import kernels
+from quillon.plans import work
 
 
 def test_products_beyond_a_long(spark):
@@ -17,3 +18,14 @@ def test_products_beyond_a_long(spark):
     assert {(r.i, r.j): int(r.v) for r in got.collect()} == want
     assert dict(kernels.gemm(a.selectExpr("i", "j", "v div 1000 v"), a.selectExpr("i", "j", "v div 1000 v")).dtypes)["v"] == "bigint"
     assert dict(kernels.gemm(a, a, alpha=0.5).dtypes)["v"] == "double"
+
+
+def test_ranges_follow_what_is_read(spark, tmp_path):
+    """Joined tables are dealt to as many ranges as their bytes need, not their product."""
+    for name in ("a", "b"):
+        spark.range(300_000).selectExpr("id", "xxhash64(id) AS x").write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("a", "b"))
+    both = a.join(b.withColumnRenamed("x", "y"), "id")
+    assert work.size_of(both) > 1 << 40
+    assert work.partitions_for(both) == 4
+    assert 4 < work.partitions_for(a, each=1 << 18) <= work.partitions_for(both, each=1 << 18) < 100
