@@ -25,7 +25,17 @@ from quillon.llm.common import made, release, table, work_path, written
 __all__ = ["ORACLE_SQL", "STAGES", "run", "written"]
 
 
+#: Bytes of an Arrow batch: the workers of all stages share an executor with what its JVM holds by then.
+BATCH_BYTES = 1 << 20
+
+
+def narrow(spark: SparkSession) -> None:
+    """Operators leave a bound alone that is smaller than theirs."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    narrow(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -34,16 +44,19 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    narrow(spark)
     return near_join.one_of_each(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    narrow(spark)
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Workers serve other stages too, so the cache of words and the steps are smaller here, and no words outlive a task."""
+    """Workers serve other stages too, so the cache of words and the steps are smaller here, and no encoder outlives a task."""
+    narrow(spark)
     return packing.pack_documents(docs, cache_words=60_000, step_bytes=1 << 20, keep_words=False)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, give_back, partitions_for, text_of
-from .tokens import CACHE_WORDS, STEP, word_encoder
+from .tokens import CACHE_WORDS, STEP, drop_encoders, word_encoder
 
 CAPACITY = 4096
 #: Documents of a group, on average.
@@ -100,7 +100,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """One row a piece; sequence_id names a sequence, offset is the place there.
 
     ``cache_words`` and ``step_bytes`` bound what a task holds: known words, and text that is encoded at once.
-    Known words serve the next task of a worker too, unless ``keep_words`` is false.
+    The encoder and the words that it knows serve the next task of a worker too, unless ``keep_words`` is false.
     """
     bounded_batches(docs.sparkSession)
     groups = max(1, -(-docs.select(F.count(F.lit(1))).first()[0] // group))
@@ -146,7 +146,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
             yield packed(number, sequence, doc_ids, encoded)[0]
         doc_ids, encoded = [], []
         if not keep_words:
-            model.forget()
+            del model
+            drop_encoders()
         give_back()
 
     # The order in a group is set, so a task that runs again cuts and places the same pieces.

@@ -288,6 +288,11 @@ def encoder(path: str, keep_space: bool, most: int = CACHE_WORDS) -> Encoder:
     return found
 
 
+def drop_encoders() -> None:
+    """Give up the encoders of this worker, with all that they know."""
+    _encoders.clear()
+
+
 def byte_encoder(path: str | None = None, most: int = CACHE_WORDS) -> Encoder:
     return encoder(path or public_tokenizers.path("byte_bpe_50k.json"), True, most)
 

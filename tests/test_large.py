@@ -1,7 +1,12 @@
 """Sizes and values beyond those of the small tables."""
 
+import numpy as np
+import pandas as pd
+
+from quillon.llm import tokens
 from quillon.operators import kernels
 from quillon.plans import work
+from quillon.streaming import keyed
 
 
 def test_products_beyond_a_long(spark):
@@ -29,3 +34,18 @@ def test_ranges_follow_what_is_read(spark, tmp_path):
     assert work.size_of(both) > 1 << 40
     assert work.partitions_for(both) == 4
     assert 4 < work.partitions_for(a, each=1 << 18) <= work.partitions_for(both, each=1 << 18) < 100
+
+
+def test_no_encoder_outlives_a_task_that_keeps_no_words():
+    """What a worker held for packing is given up, and the next task has its own."""
+    held = tokens.word_encoder()
+    assert tokens.word_encoder() is held
+    tokens.drop_encoders()
+    assert not tokens._encoders and tokens.word_encoder() is not held
+
+
+def test_a_range_pairs_rows_by_their_neighbours():
+    """Repeats at one time, begins that another follows, and begins that were open for too long."""
+    at, begins = np.array([0, 0, 0, 5, 9, 50, 51]), np.array([True, True, False, False, True, False, True])
+    rows = [(r.what, r.began, r.at) for part in keyed.between("a", at, begins, 20) for r in part.itertuples()]
+    assert [(w, None if b is pd.NA else b, None if t is pd.NA else t) for w, b, t in rows] == [("open", 9, None), ("replaced", 0, None), ("pair", 0, 0), ("unmatched", None, 5), ("unmatched", None, 50)]
